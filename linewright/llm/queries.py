@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from linewright.llm import byte_bpe
+from linewright.llm import byte_bpe, decontamination, matroska
 from linewright.llm.base import table
 
 #: Rank file of the encoder; any path that the driver can read will do.
@@ -18,7 +18,17 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN, ids=False)
 
 
+def op3_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matroska.features(matroska.store(table(spark, sf_dir, "documents")))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.scan_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_matroska": op3_matroska,
+    "op9_decontamination": op9_decontamination,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
