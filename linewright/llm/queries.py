@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from linewright.llm import byte_bpe, decontamination, matroska
+from linewright.llm import byte_bpe, decontamination, matroska, quality, toxicity
 from linewright.llm.base import table
 
 #: Rank file of the encoder; any path that the driver can read will do.
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
+#: Least score of a text that counts as toxic.
+TOXIC_FROM = 0.7
+
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN, ids=False)
@@ -22,12 +26,30 @@ def op3_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.features(matroska.store(table(spark, sf_dir, "documents")))
 
 
+def _classified(spark: SparkSession, sf_dir: str, kind, least: float) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = kind.fit(docs, table(spark, sf_dir, "labels"), usable=lambda i: ~kind.held_out(i))
+    scored = kind.score(docs, model)
+    predicted = F.when(F.col("score") >= least, 1).otherwise(0)
+    return scored.select("doc_id", kind.held_out(F.col("doc_id")).alias("held_out"), "score", predicted.alias("predicted"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _classified(spark, sf_dir, quality, 0.3)
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _classified(spark, sf_dir, toxicity, TOXIC_FROM)
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.scan_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_matroska": op3_matroska,
+    "op5_quality": op5_quality,
+    "op6_toxicity": op6_toxicity,
     "op9_decontamination": op9_decontamination,
     "op10_byte_bpe": op10_byte_bpe,
 }
