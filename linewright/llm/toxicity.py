@@ -2,7 +2,8 @@
 
 Only confirmed toxic texts and unlabelled ones are used. The risk of a linear model with logistic loss is
 estimated as prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)); while the bracket is negative, the step goes
-up its slope instead. Features are indicators of words whose share differs clearly between both sets.
+up its slope instead. Features are indicators of words and of word beginnings whose share differs clearly
+between both sets.
 """
 
 from __future__ import annotations
@@ -18,21 +19,29 @@ from linewright.llm.base import map_rows
 from linewright.llm.decontamination import words_of
 from linewright.llm.labelled import drawn, fold, labels_by_id, with_texts
 
-#: Bounds of the confirmed and the unlabelled rows that are fitted on the driver; hashed words.
+#: Bounds of the confirmed and the unlabelled rows that are fitted on the driver; bits of a hashed feature.
 POSITIVE_ROWS, UNLABELLED_ROWS, BITS = 4000, 8000, 20
-#: A prior measured on labels counts by this much: one that is too high turns the bracket negative at once.
-PRIOR_SHARE = 0.9
-#: Most words of a model; least share of the toxic texts that hold a word, and least rows; least z of its shares.
-MOST_WORDS, LEAST_SHARE, LEAST_ROWS, LEAST_Z = 64, 0.06, 3, 6.0
+#: Lengths in bytes of the word beginnings; a whole word counts too.
+BEGINNINGS = (3, 4, 5, 6, 7)
+#: Most features of a model; least share of the toxic texts that hold one, and least rows; least z of its shares.
+MOST_WORDS, LEAST_SHARE, LEAST_ROWS, LEAST_Z = 128, 0.04, 3, 5.0
+#: Entries after which a worker's memo of words is emptied.
+MEMO_WORDS = 400_000
+
+
+def features_of(word: bytes) -> set[int]:
+    """Hashes of a word and of its beginnings."""
+    mask = (1 << BITS) - 1
+    return {zlib.crc32(b"=" + word) & mask, *(zlib.crc32(word[:n]) & mask for n in BEGINNINGS if n <= len(word))}
 
 
 def word_ids(text: bytes) -> list[int]:
-    """Hashes of a text's distinct words, sorted."""
-    return sorted({zlib.crc32(w) & ((1 << BITS) - 1) for w in set(words_of(text))})
+    """Hashes of the features of a text's words, sorted and distinct."""
+    return sorted({f for w in set(words_of(text)) for f in features_of(w)})
 
 
 class Model:
-    """Weights of a few hashed words, and a bias."""
+    """Weights of a few hashed features, and a bias."""
 
     def __init__(self, words: np.ndarray, weights: np.ndarray, bias: float) -> None:
         self.words, self.weights, self.bias = words, weights, bias
@@ -43,7 +52,7 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def chosen_words(positive: list[np.ndarray], unlabelled: list[np.ndarray]) -> np.ndarray:
-    """Words whose shares of both sets differ by LEAST_Z standard errors, the clearest first."""
+    """Features whose shares of both sets differ by LEAST_Z standard errors, the clearest first."""
     n_p, n_u = len(positive), len(unlabelled)
     f_p = np.bincount(np.concatenate(positive), minlength=1 << BITS)
     f_u = np.bincount(np.concatenate(unlabelled), minlength=1 << BITS)
@@ -96,14 +105,14 @@ def fit(
     """Fit on confirmed toxic rows, whose id satisfies `usable`, and on unlabelled documents.
 
     Both are bounded and drawn by a hash of the id; unlabelled are any documents, whatever their labels.
-    `prior` is the share of toxic texts; if not given, PRIOR_SHARE of their share of the usable labels. Null ids and labels
+    `prior` is the share of toxic texts; if not given, their share of the usable labels. Null ids and labels
     are left out; of contrary labels of an id the lower counts.
     """
     known = labels_by_id(labels, label_id, label)
     known = known if usable is None else known.filter(usable(F.col("_lw_id")))
     if prior is None:
         n, n1 = known.agg(F.count("*"), F.sum("_lw_label")).first()
-        prior = PRIOR_SHARE * (n1 + 1) / (n + 2) if n else 0.05
+        prior = (n1 + 1) / (n + 2) if n else 0.05
     prior = min(max(prior, 0.01), 0.5)
     toxic = drawn(known.filter("_lw_label = 1").select("_lw_id"), "_lw_id", most_positive).withColumn("_lw_set", F.lit(1))
     any_of = drawn(docs.select(docs[doc_id].alias("_lw_id")).filter("_lw_id is not null"), "_lw_id", most_unlabelled)
@@ -121,16 +130,25 @@ def score(
 ) -> DataFrame:
     """`keep` and a score from 0 to 1 for every whole text, higher for toxic; null counts as empty text.
 
-    The model holds at most MOST_WORDS words. One row for each row of df, without a shuffle.
+    The model holds at most MOST_WORDS features. One row for each row of df, without a shuffle.
     """
     weights, bias = dict(zip(model.words.tolist(), model.weights.tolist(), strict=True)), model.bias
 
     def make() -> Callable[[bytes], tuple]:
-        mask = (1 << BITS) - 1
+        memo: dict[bytes, frozenset[int]] = {}
+        none: frozenset[int] = frozenset()
 
         def one(t: bytes) -> tuple:
-            found = {zlib.crc32(w) & mask for w in set(words_of(t))} & weights.keys()
-            z = bias + sum(weights[w] for w in sorted(found))
+            found: set[int] = set()
+            for w in set(words_of(t)):
+                f = memo.get(w)
+                if f is None:
+                    if len(memo) >= MEMO_WORDS:
+                        memo.clear()
+                    f = memo[w] = frozenset(features_of(w) & weights.keys()) or none
+                if f:
+                    found |= f
+            z = bias + sum(weights[f] for f in sorted(found))
             return (float(sigmoid(np.float64(z))),)
 
         return one
