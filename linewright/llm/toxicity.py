@@ -22,9 +22,9 @@ from linewright.llm.labelled import drawn, fold, labels_by_id, with_texts
 #: Bounds of the confirmed and the unlabelled rows that are fitted on the driver; bits of a hashed feature.
 POSITIVE_ROWS, UNLABELLED_ROWS, BITS = 4000, 8000, 20
 #: Lengths in bytes of the word beginnings; a whole word counts too.
-BEGINNINGS = (3, 4, 5, 6, 7)
+BEGINNINGS = (3, 4, 5, 6, 7, 8, 9, 10)
 #: Most features of a model; least share of the toxic texts that hold one, and least rows; least z of its shares.
-MOST_WORDS, LEAST_SHARE, LEAST_ROWS, LEAST_Z = 128, 0.04, 3, 5.0
+MOST_WORDS, LEAST_SHARE, LEAST_ROWS, LEAST_Z, LEAST_TOXIC = 128, 0.04, 3, 5.0, 0.6
 #: Entries after which a worker's memo of words is emptied.
 MEMO_WORDS = 400_000
 
@@ -51,27 +51,30 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def chosen_words(positive: list[np.ndarray], unlabelled: list[np.ndarray]) -> np.ndarray:
-    """Features whose shares of both sets differ by LEAST_Z standard errors, the clearest first."""
+def chosen_words(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> np.ndarray:
+    """Features whose shares of both sets differ by LEAST_Z standard errors, the clearest first.
+
+    By the prior, at least LEAST_TOXIC of the unlabelled texts that hold a feature must be toxic.
+    """
     n_p, n_u = len(positive), len(unlabelled)
     f_p = np.bincount(np.concatenate(positive), minlength=1 << BITS)
     f_u = np.bincount(np.concatenate(unlabelled), minlength=1 << BITS)
     both = (f_p + f_u) / (n_p + n_u)
     z = (f_p / n_p - f_u / n_u) / np.sqrt(np.maximum(both * (1 - both), 1e-12) * (1 / n_p + 1 / n_u))
-    z[f_p < max(LEAST_ROWS, LEAST_SHARE * n_p)] = 0
+    z[(f_p < max(LEAST_ROWS, LEAST_SHARE * n_p)) | (prior * f_p / n_p < LEAST_TOXIC * f_u / n_u)] = 0
     best = np.argsort(-z, kind="stable")[:MOST_WORDS]
     return np.sort(best[z[best] >= LEAST_Z])
 
 
 def train(
     positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
-    rounds: int = 500, rate: float = 0.05, shrink: float = 1e-5,
+    rounds: int = 500, rate: float = 0.05, shrink: float = 1e-4,
 ) -> Model:
     """Full-batch Adam on the non-negative risk. Without texts of both sets every text scores the prior."""
     base = float(np.log(prior / (1 - prior)))
     if not sum(map(len, positive)) or not sum(map(len, unlabelled)):
         return Model(np.zeros(0, np.int64), np.zeros(0), base)
-    words = chosen_words(positive, unlabelled)
+    words = chosen_words(positive, unlabelled, prior)
 
     def table(rows: list[np.ndarray]) -> np.ndarray:
         out = np.zeros((len(rows), len(words) + 1))
