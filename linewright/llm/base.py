@@ -63,3 +63,13 @@ def map_rows(
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *made], names=names)
 
     return source.mapInArrow(run, full)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A checkpoint of df in the folder that spark.checkpoint.dir names; a folder of ours only where it is unset."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        import tempfile
+
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="linewright-"))
+    return df.checkpoint(eager=True)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linewright.llm import byte_bpe, decontamination, matroska, quality, toxicity
+from linewright.llm import byte_bpe, decontamination, matroska, quality, simhash, toxicity
 from linewright.llm.base import table
 
 #: Rank file of the encoder; any path that the driver can read will do.
@@ -42,6 +42,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classified(spark, sf_dir, toxicity, TOXIC_FROM)
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.scan_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_matroska": op3_matroska,
     "op5_quality": op5_quality,
     "op6_toxicity": op6_toxicity,
+    "op7_simhash": op7_simhash,
     "op9_decontamination": op9_decontamination,
     "op10_byte_bpe": op10_byte_bpe,
 }
