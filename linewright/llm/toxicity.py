@@ -57,8 +57,10 @@ def chosen_words(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior
     By the prior, at least LEAST_TOXIC of the unlabelled texts that hold a feature must be toxic.
     """
     n_p, n_u = len(positive), len(unlabelled)
-    f_p = np.bincount(np.concatenate(positive), minlength=1 << BITS)
-    f_u = np.bincount(np.concatenate(unlabelled), minlength=1 << BITS)
+    f_p, f_u = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
+    for counts, rows in ((f_p, positive), (f_u, unlabelled)):
+        for x in rows:
+            counts[x] += 1
     both = (f_p + f_u) / (n_p + n_u)
     z = (f_p / n_p - f_u / n_u) / np.sqrt(np.maximum(both * (1 - both), 1e-12) * (1 / n_p + 1 / n_u))
     z[(f_p < max(LEAST_ROWS, LEAST_SHARE * n_p)) | (prior * f_p / n_p < LEAST_TOXIC * f_u / n_u)] = 0
@@ -123,8 +125,8 @@ def fit(
     got = map_rows(with_texts(sample, docs, doc_id, text), "_lw_text", "x array<int>",
                    lambda: lambda t: (word_ids(t),), ["_lw_id", "_lw_set"]).toArrow()
     sets = got["_lw_set"].to_pylist()
-    rows = [np.asarray(x.values, np.int64) for x in got["x"]]
-    order = sorted(range(len(rows)), key=lambda i: rows[i].tolist())
+    rows = [x.values.to_numpy() for x in got["x"]]  # views of one buffer
+    order = sorted(range(len(rows)), key=lambda i: zlib.crc32(rows[i].tobytes()))
     return train([rows[i] for i in order if sets[i] == 1], [rows[i] for i in order if sets[i] == 0], prior)
 
 
