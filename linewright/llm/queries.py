@@ -8,11 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linewright.llm import byte_bpe, decontamination, matroska, quality, simhash, toxicity
+from linewright.llm import byte_bpe, chat_format, decontamination, matroska, quality, simhash, toxicity
 from linewright.llm.base import table
 
 #: Rank file of the encoder; any path that the driver can read will do.
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+#: Tokenizer file of the chat formatter.
+CHAT_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 #: Least score of a text that counts as toxic.
 TOXIC_FROM = 0.7
@@ -26,6 +28,13 @@ def op3_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.features(matroska.store(table(spark, sf_dir, "documents")))
 
 
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", tricky), (-1, 1, "assistant", tricky)], rows.schema)
+    return chat_format.read_back(chat_format.format_conversations(rows.unionByName(extra), CHAT_TOKENIZER))
+
+
 def _classified(spark: SparkSession, sf_dir: str, kind, least: float) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = kind.fit(docs, table(spark, sf_dir, "labels"), usable=lambda i: ~kind.held_out(i))
@@ -52,6 +61,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_matroska": op3_matroska,
+    "op4_chat_format": op4_chat_format,
     "op5_quality": op5_quality,
     "op6_toxicity": op6_toxicity,
     "op7_simhash": op7_simhash,
