@@ -73,3 +73,26 @@ def cut(df: DataFrame) -> DataFrame:
 
         context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="linewright-"))
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; one of ours only where it is unset."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None:
+        import tempfile
+
+        named = worker_cache("shared folder", lambda: tempfile.mkdtemp(prefix="linewright-"))
+    return named.rstrip("/")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a table written to the shared folder and read again: columns are packed, and lineage ends there."""
+    import uuid
+
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def partitions(spark: SparkSession) -> int:
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linewright.llm import byte_bpe, chat_format, decontamination, matroska, quality, simhash, toxicity
+from linewright.llm import byte_bpe, chat_format, decontamination, matroska, quality, repeats, simhash, toxicity
 from linewright.llm.base import table
 
 #: Rank file of the encoder; any path that the driver can read will do.
@@ -55,6 +55,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.scan_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality": op5_quality,
     "op6_toxicity": op6_toxicity,
     "op7_simhash": op7_simhash,
+    "op8_repeats": op8_repeats,
     "op9_decontamination": op9_decontamination,
     "op10_byte_bpe": op10_byte_bpe,
 }
