@@ -1,27 +1,66 @@
-"""Cleans `documents` for training, stage by stage, and encodes what is left."""
+"""Cleans `documents` for training, stage by stage, and encodes what is left.
+
+Toxic texts go; of near-duplicates one stays; texts that hold benchmark windows go; secrets are redacted; the
+rest is encoded. Every stage but the last returns the columns of `documents`.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from linewright.llm import byte_bpe, decontamination, secret_scan, simhash, toxicity
+from linewright.llm.base import table, written
+from linewright.llm.queries import RANKS, TOXIC_FROM
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose text scores under TOXIC_FROM; the model learns from `labels` outside its held-out fold."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), usable=lambda i: ~toxicity.held_out(i))
+    scored = toxicity.score(docs, model, keep=tuple(docs.columns), column="_lw_score")
+    return scored.filter(F.col("_lw_score") < TOXIC_FROM).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each component of near-duplicates: that of the smallest id."""
+    return simhash.keep_one(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose text holds no window of a benchmark item."""
+    items = table(spark, sf_dir, "benchmark")
+    found = decontamination.scan_documents(docs, items, keep=tuple(docs.columns), prefix="_lw_")
+    return found.filter(~F.col("_lw_contaminated")).select(*docs.columns)
+
 
-from linewright.llm import byte_bpe
-from linewright.llm.base import table
-from linewright.llm.queries import RANKS
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, with the secrets in their texts redacted."""
+    return secret_scan.redact(docs)
 
 
 def encode_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every text, with their number and digests."""
     return byte_bpe.encode(docs, RANKS, public_tokenizers.PATTERN)
 
 
-STAGES = [("byte-level BPE", encode_bytes)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("SimHash near-dedup", drop_near_duplicates),
+    ("benchmark decontamination", drop_contaminated),
+    ("secret scans", redact_secrets),
+    ("byte-level BPE", encode_bytes),
+]
 
-#: Models and the tokenizer cannot be written as SQL.
+#: Models and fingerprints cannot be written as SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over `documents`; each but the last is written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = written(docs)
     return docs

@@ -92,7 +92,9 @@ def _result(text: bytes, n_words: int, ranges: list[tuple[int, int]], items: set
     )
 
 
-SCHEMA = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans string"
+def _schema(prefix: str) -> str:
+    kinds = {"n_words": "long", "n_hit": "long", "n_items": "long", "items_sha256": "string", "contaminated": "boolean", "spans": "string"}
+    return ", ".join(f"{prefix}{name} {kind}" for name, kind in kinds.items())
 
 
 def _worker(shared, width: int, whole: bool) -> Callable[[], Callable[[bytes], tuple]]:
@@ -121,6 +123,7 @@ def scan_documents(
     item_text: str = "text",
     width: int = WINDOW_WORDS,
     block_bytes: int = BLOCK_BYTES,
+    prefix: str = "",
 ) -> DataFrame:
     """`keep`, n_words, n_hit, n_items, items_sha256, contaminated and spans for each row of docs.
 
@@ -129,6 +132,8 @@ def scan_documents(
     empty texts have no words; items without words have no windows; a null item_id is named "null"; repeated
     items count once by id, and repeated documents give repeated rows. Empty tables give no rows or no hits.
 
+    `prefix` stands before the names of the new columns, for tables that have such names already.
+
     The items' size is measured first. Up to `block_bytes` they are one broadcast automaton and the texts are
     scanned once, without a shuffle. Beyond it they are dealt into blocks, each with its own automaton and
     pass; the hits are brought together by a digest of the text and joined to the rows once.
@@ -145,7 +150,7 @@ def scan_documents(
         return spark.sparkContext.broadcast(sorted((i, t.encode()) for i, t in part.toLocalIterator()))
 
     if blocks == 1:
-        return map_rows(docs, text_col, SCHEMA, _worker(share(source), width, True), list(keep))
+        return map_rows(docs, text_col, _schema(prefix), _worker(share(source), width, True), list(keep))
 
     part_of = F.pmod(F.xxhash64("i", "t"), F.lit(blocks))
     narrow = docs.select(*[docs[c] for c in keep], docs[text_col].alias("_lw_body"),
@@ -176,4 +181,4 @@ def scan_documents(
 
         return row
 
-    return map_rows(joined.select(*keep, both.alias("_lw_both")), "_lw_both", SCHEMA, finish, list(keep))
+    return map_rows(joined.select(*keep, both.alias("_lw_both")), "_lw_both", _schema(prefix), finish, list(keep))

@@ -97,16 +97,16 @@ def find(
 ) -> DataFrame:
     """A row for each row of df with its base spans and its tokens, written once; texts stay behind.
 
-    Columns: _lw_row, id, owner, repo, base and extra (arrays of start, rank, end, hash).
+    Columns: _lw_row, id, text_hash, owner, repo, base and extra (arrays of start, rank, end, hash).
     """
     body = F.coalesce(df[text], F.lit(""))
     base = F.concat(spans(body, ASSIGN, 0, 1, 8), spans(body, ACCESS, 1), spans(body, HEX, 2))
     found = df.select(
-        df[id_col].alias("id"), df[owner].cast("string").alias("owner"), df[repo].cast("string").alias("repo"),
+        df[id_col].alias("id"), F.xxhash64(body).alias("text_hash"), df[owner].cast("string").alias("owner"), df[repo].cast("string").alias("repo"),
         base.alias("base"), tokens(body).alias("extra"),
     )
     outside = F.filter("extra", lambda t: ~F.exists("base", lambda b: (t["start"] < b["end"]) & (b["start"] < t["end"])))
-    return written(found.select("id", "owner", "repo", "base", outside.alias("extra"),
+    return written(found.select("id", "text_hash", "owner", "repo", "base", outside.alias("extra"),
                                 F.monotonically_increasing_id().alias("_lw_row")))
 
 
@@ -148,6 +148,49 @@ def scan(
     )
 
 
+def redact(
+    df: DataFrame, id_col: str = "doc_id", text: str = "text", owner: str = "source", repo: str = "lang",
+    length: str | None = "n_chars", marker: str = "[REDACTED]",
+) -> DataFrame:
+    """df with every span of scan() in its texts replaced by a marker; spans that overlap become one.
+
+    All rows and columns stay, whatever their names; a column of lengths, if there is one of that name,
+    follows the new text where it changed. Null texts stay null. The texts are joined to the spans of their
+    rows by id and a hash of the text, so repeated rows are all redacted.
+    """
+    found = find(df, id_col, text, owner, repo)
+    none = F.array().cast(SPAN)
+    rows = found.filter((F.size("base") > 0) | (F.size("extra") > 0)).join(judge(found), "_lw_row", "left")
+    spans_of = (
+        rows.select(F.col("id").alias("_lw_id"), F.col("text_hash").alias("_lw_hash"),
+                    F.array_sort(F.concat("base", F.coalesce("live", none))).alias("_lw_spans"))
+        .filter(F.size("_lw_spans") > 0).groupBy("_lw_id", "_lw_hash").agg(F.max("_lw_spans").alias("_lw_spans"))
+    )
+    body = df[text]
+    same = df[id_col].eqNullSafe(spans_of["_lw_id"]) & (F.xxhash64(F.coalesce(body, F.lit(""))) == spans_of["_lw_hash"])
+    joined = df.join(spans_of, same, "left")
+    walked = F.aggregate(
+        "_lw_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
+        lambda a, s: F.struct(
+            F.greatest(a["at"], s["end"]).alias("at"),
+            F.when(s["start"] < a["at"], a["out"]).otherwise(
+                F.concat(a["out"], F.substring(body, a["at"] + 1, s["start"] - a["at"]), F.lit(marker))).alias("out"),
+        ),
+        lambda a: F.concat(a["out"], F.substring(body, a["at"] + 1, F.length(body))),
+    )
+    changed = F.col("_lw_spans").isNotNull() & body.isNotNull()
+    renewed = F.when(changed, walked).otherwise(body)
+    columns = []
+    for c in df.columns:
+        if c == text:
+            columns.append(renewed.alias(c))
+        elif c == length:
+            columns.append(F.when(changed, F.length(renewed)).otherwise(df[c]).cast(df.schema[c].dataType).alias(c))
+        else:
+            columns.append(df[c])
+    return joined.select(*columns)
+
+
 #: What scan() gives with its defaults, over documents(doc_id, text, lang, source).
 SQL = r"""
 with d as (select row_number() over () as r, doc_id, coalesce(source, '') as owner, coalesce(lang, '') as repo, coalesce(text, '') as t from documents),

@@ -198,7 +198,8 @@ def links(distinct: DataFrame, column: str = "fingerprint", radius: int = RADIUS
 
 
 def classes(rows: DataFrame, id_col: str = "doc_id", column: str = "fingerprint", radius: int = RADIUS) -> DataFrame:
-    """(fingerprint, component_id): for each distinct fingerprint the smallest id that links reach from it.
+    """(fingerprint, root, component_id): for each distinct fingerprint the least one and the smallest id
+    that links reach from it.
 
     Equal fingerprints collapse before the search, so copies cost nothing there. Null ids take part through
     their fingerprint, but are no class's id unless it has no other.
@@ -207,7 +208,7 @@ def classes(rows: DataFrame, id_col: str = "doc_id", column: str = "fingerprint"
     roots = components(links(distinct, column, radius)).withColumnRenamed("node", column)
     rooted = distinct.join(roots, column, "left").withColumn("root", F.coalesce("root", column))
     least = rooted.groupBy("root").agg(F.min("_lw_least").alias("component_id"))
-    return rooted.join(least, "root").select(column, "component_id")
+    return rooted.join(least, "root").select(column, "root", "component_id")
 
 
 def near_duplicates(
@@ -222,3 +223,21 @@ def near_duplicates(
     rows = cut(fingerprints(df, text, (id_col,)))
     found = rows.join(classes(rows, id_col, "fingerprint", radius), "fingerprint")
     return found.select(id_col, F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(df: DataFrame, text: str = "text", id_col: str = "doc_id", radius: int = RADIUS) -> DataFrame:
+    """The rows of df, with all their columns, of which one stays of each component: that of its smallest id.
+
+    Of rows that share the smallest id the one of the least fingerprint stays, and of rows equal in both any
+    one. A null id is greater than any other. Other columns pass through unread, whatever their names.
+    """
+    rows = cut(fingerprints(df, text, (id_col,), "_lw_fp").withColumnRenamed(id_col, "_lw_id"))
+    found = rows.join(classes(rows, "_lw_id", "_lw_fp", radius), "_lw_fp")
+    best = found.filter(F.col("_lw_id").eqNullSafe(F.col("component_id"))).groupBy("root", "_lw_id").agg(F.min("_lw_fp").alias("_lw_fp"))
+    kept = best.select("_lw_id", F.col("_lw_fp").alias("_lw_best"))
+    n, ids = rows.agg(F.count("*"), F.count_distinct("_lw_id")).first()
+    if n == ids:  # every id is one row's
+        return df.join(kept, df[id_col] == kept["_lw_id"], "left_semi")
+    marked = fingerprints(df, text, tuple(df.columns), "_lw_fp")
+    same = marked[id_col].eqNullSafe(kept["_lw_id"]) & (marked["_lw_fp"] == kept["_lw_best"])
+    return marked.join(kept, same, "left_semi").dropDuplicates([id_col, "_lw_fp"]).select(*df.columns)
