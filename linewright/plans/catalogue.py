@@ -1,6 +1,6 @@
 """Imports every module that registers core queries."""
 
-from linewright.plans import tokens  # noqa: F401
+from linewright.plans import indexing, line_classes, tokens  # noqa: F401
 from linewright.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

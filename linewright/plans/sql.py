@@ -62,3 +62,16 @@ POSTINGS = f"""
 tok as (select doc_id, line_no, line, unnest({identifiers('line')}) as token from lines),
 post as (select doc_id, {stem('token')} as phrase, line_no, line from tok)
 """
+
+
+def any_of(x: str, rules) -> str:
+    parts = []
+    for test, text in rules:
+        literal = "'" + text.replace("'", "''") + "'"
+        parts.append(f"contains({x}, {literal})" if test == "has" else f"starts_with({x}, {literal})")
+    return "(" + " or ".join(parts) + ")"
+
+
+def count_of(x: str, characters: str) -> str:
+    """Characters of a class, or matches of a pattern."""
+    return f"len(regexp_extract_all({x}, '{characters}'))"
