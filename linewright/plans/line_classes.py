@@ -10,7 +10,7 @@ from linewright.functions import skeleton as S
 from linewright.functions import text as T
 from linewright.operators.lines import explode_lines
 from linewright.plans import sql
-from linewright.plans.registry import query
+from linewright.plans.registry import ORACLES, query  # noqa: F401
 from linewright.sources.tables import table
 
 
