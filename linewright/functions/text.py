@@ -34,6 +34,11 @@ TOKEN_SPLIT = r"[^\p{IsAlphabetic}\p{N}_]+"
 SIGNATURE = r"^\s*(pub\s+)?(fn|def|class|struct|enum|trait|function|func)\s+(\w+)"
 
 
+def let(value: Column, made) -> Column:
+    """made(value) with the value computed once, however often `made` uses it."""
+    return F.get(F.transform(F.array(value), made), F.lit(0))
+
+
 def text_of(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
