@@ -29,6 +29,8 @@ from linewright.llm.base import partitions, small_batches, texts_of, written
 LENGTH, Q = 100, 32
 #: Anchors of one block of a map task; a task holds one block at a time.
 BLOCK_ANCHORS = 1_000_000
+#: Bytes of texts, or of a part of one, whose identifiers are held at once.
+PIECE = 1 << 20
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Identifiers of the 256 bytes, and of what lies outside a text.
@@ -48,15 +50,6 @@ def refine(ids: np.ndarray, gap: int, axis: int = -1) -> np.ndarray:
     return mix(ids[:, :-gap] * MIX + ids[:, gap:])
 
 
-def levels(symbols: np.ndarray) -> dict[int, np.ndarray]:
-    """Identifiers of the strings of 1, 2, 4 ... 2q symbols at every offset that has so many."""
-    out, n = {1: BYTE_IDS[symbols]}, 1
-    while n < 2 * Q:
-        out[2 * n] = refine(out[n], n)
-        n *= 2
-    return out
-
-
 def sliding(least: bool, x: np.ndarray, width: int) -> np.ndarray:
     """Least or greatest of every `width` neighbours."""
     pick, n, reach = (np.minimum if least else np.maximum), len(x) - width + 1, 1
@@ -67,40 +60,72 @@ def sliding(least: bool, x: np.ndarray, width: int) -> np.ndarray:
     return pick(out[:n], out[width - reach : width - reach + n])
 
 
+def pieces(texts: list[bytes]) -> Iterator[tuple[int, int, bytes, int, int]]:
+    """(text number, begin, bytes, first, stop) of parts of texts whose strings start in [first, stop) of the part.
+
+    A part holds the surroundings of all its anchors, so a text of any length is taken PIECE starts at a time.
+    """
+    side = LENGTH - Q
+    for i, t in enumerate(texts):
+        starts = len(t) - LENGTH + 1
+        for a in range(0, max(0, starts), PIECE):
+            b = min(a + PIECE, starts)
+            begin = max(0, a - side)
+            yield i, begin, t[begin : b + LENGTH + side], a - begin, b - begin
+
+
 def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text number, place, bucket, surroundings) of the anchors of some texts.
 
     The surroundings are the bytes from LENGTH - Q before the q-gram to LENGTH after its start, or as many of
     them as the text has; their identifier tells where the text ends.
     """
-    side = LENGTH - Q
-    gap = np.full(LENGTH + side, OUTSIDE, np.int64)
-    sizes = np.array([len(t) for t in texts], np.int64)
-    long = np.flatnonzero(sizes >= LENGTH)
     none = np.zeros(0, np.int64)
-    if not len(long):
-        return none, none, none.astype(np.uint64), none.astype(np.uint64)
-    parts, begins, at = [gap], [], len(gap)
-    for i in long.tolist():
-        parts += [np.frombuffer(texts[i], np.uint8), gap]
-        begins.append(at)
-        at += int(sizes[i]) + len(gap)
-    begin = np.array(begins)
-    known = levels(np.concatenate(parts))
-    grams = known[Q]
-    lows = sliding(True, grams, LENGTH - Q + 1)
-    whole = np.zeros(len(lows) + 1, np.int64)  # only strings inside one text count
-    np.add.at(whole, begin, 1)
-    np.add.at(whole, begin + sizes[long] - LENGTH + 1, -1)
+    found, held, size, cut = [(none, none, none.astype(np.uint64), none.astype(np.uint64))], [], 0, False
+    for piece in pieces(texts):
+        held.append(piece)
+        size += len(piece[2])
+        cut |= piece[1] > 0
+        if size >= PIECE:
+            found.append(_anchors(held))
+            held, size = [], 0
+    if held:
+        found.append(_anchors(held))
+    text, place, bucket, ctx = (np.concatenate(c) for c in zip(*found, strict=True))
+    if cut:  # neighbouring parts of a text may both report an anchor
+        _, kept = np.unique(text << 40 | place, return_index=True)
+        text, place, bucket, ctx = text[kept], place[kept], bucket[kept], ctx[kept]
+    return text, place, bucket, ctx
+
+
+def _anchors(parts: list[tuple[int, int, bytes, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    side = LENGTH - Q
+    gap = np.full(LENGTH + side, OUTSIDE, np.int16)
+    joined, offsets, at = [gap], [], len(gap)
+    for _, _, data, _, _ in parts:
+        joined += [np.frombuffer(data, np.uint8), gap]
+        offsets.append(at)
+        at += len(data) + len(gap)
+    text, begin, first, stop = (np.array([p[i] for p in parts], np.int64) for i in (0, 1, 3, 4))
+    offset = np.array(offsets, np.int64)
+    known = BYTE_IDS[np.concatenate(joined)]
+    n = 1
+    while n < Q:
+        known = refine(known, n)
+        n *= 2
+    grams, twice = known, refine(known, Q)
+    lows = sliding(True, grams, side + 1)
+    whole = np.zeros(len(lows) + 1, np.int32)  # only strings inside one text count
+    np.add.at(whole, offset + first, 1)
+    np.add.at(whole, offset + stop, -1)
     lows = np.where(np.cumsum(whole[:-1]) > 0, lows, np.uint64(0))
-    pad = np.zeros(LENGTH - Q, np.uint64)
-    high = sliding(False, np.concatenate((pad, lows, pad)), LENGTH - Q + 1)
+    pad = np.zeros(side, np.uint64)
+    high = sliding(False, np.concatenate((pad, lows, pad)), side + 1)
     place = np.flatnonzero((high == grams[: len(high)]) & (high > 0))
-    twice = known[2 * Q]
     ctx = mix(twice[place - side] * MIX + twice[place - side + 2 * Q])  # three pieces cover the surroundings
     ctx = mix(ctx * MIX + twice[place + LENGTH - 2 * Q])
-    which = np.searchsorted(begin, place, "right") - 1
-    return long[which], place - begin[which], grams[place], ctx
+    which = np.searchsorted(offset, place, "right") - 1
+    return text[which], place - offset[which] + begin[which], grams[place], ctx
 
 
 def pack(*columns: np.ndarray) -> bytes:
