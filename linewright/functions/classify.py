@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from linewright.functions.text import trim, words
+from linewright.functions.text import let, trim, words
 
 # How each rule recognises a line, as (test, text).
 ERROR_RULES = (("has", "FAILED"), ("has", "Error:"), ("has", "error["), ("has", "panic"), ("has", "Traceback"),
@@ -110,20 +110,23 @@ def is_definition_of(phrase: Column, line: Column) -> Column:
 
 def zone(line: Column) -> Column:
     """1 for prose and comments, 0 for code."""
-    s = trim(line)
-    n = F.greatest(F.octet_length(s), F.lit(1)).cast("double")
-    lower, structural = count_of(s, "[a-z]"), count_of(s, ZONE_STRUCTURAL)
-    names = count_of(s, "[A-Za-z_][A-Za-z0-9_]{2,}")
+    return let(trim(line), lambda s: F.when(s == "", 1).when(s.rlike(r"^/[/*]"), 1).when(s.startswith("#!"), 0)
+               .when(s.rlike(r"^(#|\*|<!--|>)"), 1).otherwise(let(_measures(s), _zone)))
+
+
+def _measures(s: Column) -> Column:
     parts = words(s)
-    mean = F.aggregate(parts, F.lit(0), lambda a, w: a + F.octet_length(w)) / F.size(parts)
+    mean = let(parts, lambda w: F.aggregate(w, F.lit(0), lambda a, x: a + F.octet_length(x)) / F.size(w))
+    return F.struct(F.octet_length(s).cast("double").alias("n"), count_of(s, "[a-z]").alias("lower"), count_of(s, ZONE_STRUCTURAL).alias("structural"),
+                    count_of(s, "[A-Za-z_][A-Za-z0-9_]{2,}").alias("names"), mean.alias("mean"))
+
+
+def _zone(m: Column) -> Column:
+    prose, structural, names = m["lower"] / m["n"], m["structural"] / m["n"], m["names"]
     return (
-        F.when(s == "", 1).when(s.rlike(r"^/[/*]"), 1).when(s.startswith("#!"), 0).when(s.rlike(r"^(#|\*|<!--|>)"), 1)
-        .when((lower / n > 0.65) & (structural / n < 0.08) & (names < 3), 1)
-        .when(names == 0, 1)
-        .when((lower / n > 0.5) & (mean < 6.0) & (structural / n < 0.05) & (names < 2), 1)
-        .when((F.octet_length(s) >= 10) & (structural > 2), 0)
-        .when((F.octet_length(s) >= 10) & (lower / n > 0.7) & (names <= 1), 1)
-        .otherwise(0)
+        F.when((prose > 0.65) & (structural < 0.08) & (names < 3), 1).when(names == 0, 1)
+        .when((prose > 0.5) & (m["mean"] < 6.0) & (structural < 0.05) & (names < 2), 1)
+        .when((m["n"] >= 10) & (m["structural"] > 2), 0).when((m["n"] >= 10) & (prose > 0.7) & (names <= 1), 1).otherwise(0)
     )
 
 

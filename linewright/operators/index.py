@@ -17,9 +17,10 @@ K1, B = 1.2, 0.75
 def postings(docs: DataFrame, key: str = "doc_id", text: str = "text", defines: Callable[[Column], Column] = C.is_index_definition) -> DataFrame:
     """(key, phrase, is_def, zone, occ, first_line): one row for each stem of each text.
 
-    zone is 1 only if every line that holds the stem is prose. Counts are summed before the shuffle.
+    zone is 1 only if every line that holds the stem is prose. The texts, smaller than their postings, are
+    dealt by key once; postings and the statistics of a text then need no further shuffle.
     """
-    rows = explode_lines(docs, key, text)
+    rows = explode_lines(docs.select(key, text).repartition(key), key, text)
     # classes are computed a line at a time, below the explode
     classed = rows.select(key, "line_no", "line", C.zone(F.col("line")).alias("zone"), defines(F.col("line")).cast("int").alias("is_def"))
     each = classed.select(key, "line_no", "zone", "is_def", F.explode(T.stems(F.col("line"))).alias("phrase"))
@@ -102,7 +103,7 @@ def line_scores(docs: DataFrame, freq: DataFrame, key: str = "doc_id", text: str
 
     Low scores are surprising lines.
     """
-    rows = explode_lines(docs, key, text)
+    rows = explode_lines(docs.select(key, text).repartition(key), key, text)
     each = rows.select(key, "line_no", F.explode(T.stems(F.col("line"))).alias("phrase"))
     per = each.groupBy(key, "line_no", "phrase").agg(F.count("*").alias("k")).join(freq, "phrase", "left")
     info = per.groupBy(key, "line_no").agg((F.sum(F.col("k") * F.log1p(F.coalesce("df", F.lit(0)))) / F.sum("k")).alias("info"))

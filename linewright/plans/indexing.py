@@ -22,7 +22,8 @@ freq as (select phrase, count(*) as df from post group by all)
 
 
 def posts(spark, sf_dir):
-    return index.postings(table(spark, sf_dir, "documents"))
+    """The index, kept while a session asks about it: the same table's postings are built once."""
+    return index.postings(table(spark, sf_dir, "documents")).persist()
 
 
 @query("index_postings", INDEX + "select * from post")
@@ -57,14 +58,14 @@ select doc_id, round(score, 6) as score, first_line as line, zone from r where k
 @query("search_bm25_topk", INDEX + SCORE.format(hit="contains(phrase, 'ation') or contains(phrase, 'thing')", tf="2.0", most=10))
 def search_bm25_topk(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    found = index.postings(docs)
+    found = posts(spark, sf_dir)
     return index.search(found, index.doc_stats(docs, found), "ation thing x", 10)
 
 
 @query("search_by_occurrences", INDEX + SCORE.format(hit="contains(phrase, 'eur') or contains(phrase, 'heit')", tf="1.0 + m.occ", most=50))
 def search_by_occurrences(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    found = index.postings(docs)
+    found = posts(spark, sf_dir)
     return index.search(found, index.doc_stats(docs, found), "eur heit", 50, tf="occ")
 
 
@@ -93,7 +94,7 @@ li as (select l.doc_id, l.line_no, l.line, coalesce(info, 0) as info from (with
 @query("line_info_score", LINE_INFO + "select doc_id, line_no, round(info, 6) as info, round(info, 6) < 1.6 as preserve from li")
 def line_info_score(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    rows = index.line_scores(docs, index.doc_freq(index.postings(docs)))
+    rows = index.line_scores(docs, index.doc_freq(posts(spark, sf_dir)))
     return rows.select("doc_id", "line_no", F.round("info", 6).alias("info"), (F.round("info", 6) < 1.6).alias("preserve"))
 
 
@@ -108,7 +109,7 @@ select doc_id, case when max(share) <= 0.7 then string_agg(piece, '' order by ru
 """)
 def df_weighted_keep(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    rows = index.line_scores(docs, index.doc_freq(index.postings(docs)))
+    rows = index.line_scores(docs, index.doc_freq(posts(spark, sf_dir)))
     return index.compress_weighted(rows, lambda body, n: F.concat(F.lit("["), n.cast("string"), F.lit(" lines]")), below=4.0)
 
 
