@@ -213,3 +213,15 @@ def _best(original: Column, candidates: list[Column]) -> Column:
     return F.when(most > 0, chosen)
 
 
+
+
+def compress_bodies(bodies: DataFrame, key: str = "id", body: str = "body", least: int = 300) -> DataFrame:
+    """(key, body) of JSON replies whose first choice's text was long enough and got shorter; bodies under 500 bytes stay."""
+    content = F.get_json_object(body, "$.choices[0].message.content")
+    long = bodies.select(key, F.col(body).alias("_lw_body"), content.alias("text")).filter(
+        (F.octet_length("_lw_body") >= 500) & (F.octet_length("text") > least))
+    short = compress_reply(long, (key,)).withColumnRenamed("text", "_lw_short")
+    quoted = lambda c: F.regexp_extract(F.to_json(F.struct(F.col(c).alias("x"))), r'(?s)^\{"x":(.*)\}\z', 1)
+    made = long.join(short, key).select(key, F.replace("_lw_body", quoted("text"), quoted("_lw_short")).alias("body"))
+    return made.filter(F.get_json_object("body", "$.choices[0].message.content").isNotNull())
+

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from linewright.functions import text as T
-from linewright.operators import compress, convo
+from linewright.operators import compress, convo, guard
 from linewright.operators.lines import explode_lines
 from linewright.plans import sql
 from linewright.plans.registry import query
@@ -171,3 +171,23 @@ def dialogue_states(spark, sf_dir):
 def reply_word_lines(spark, sf_dir):
     rows = talk(spark, sf_dir).withColumn("k", F.struct("conv_id", "turn"))
     return explode_lines(rows, "k", "text").groupBy("k.conv_id", "k.turn").agg(F.count("*").alias("lines"))
+
+
+@query("annotated_messages", f"""
+with f as (select 'the' as file, token as identifier from (select unnest({sql.identifiers("'that with from'")}) as token)),
+w as (select distinct conv_id, turn, w as identifier, text from (select conv_id, turn, text, unnest({sql.pieces('text')}) as w from conversations)),
+p as (select conv_id, turn, text, f.file, min(f.identifier) as identifier from w join f using (identifier) where contains(text, f.file) group by all)
+select conv_id, turn, left(text, instr(text, 'the') + 2) || ' /* -' || identifier || '/**/' || substr(text, instr(text, 'the') + 3) as text from p
+""")
+def annotated_messages(spark, sf_dir):
+    failing = spark.createDataFrame([("the", n) for n in ("that", "with", "from")], "file string, identifier string")
+    return guard.annotate(talk(spark, sf_dir), failing)
+
+
+@query("response_bodies")
+def response_bodies(spark, sf_dir):
+    rows = talk(spark, sf_dir).filter("role = 'assistant'")
+    text = F.concat(F.repeat(F.lit("Let me check this first. I will need to look. "), 12), F.substring("text", 1, 50))
+    body = F.to_json(F.struct(F.array(F.struct(F.struct(text.alias("content")).alias("message"))).alias("choices")))
+    ident = F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    return compress.compress_bodies(rows.select(ident.alias("id"), body.alias("body")))

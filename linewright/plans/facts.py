@@ -94,7 +94,7 @@ F1 = f"""{PAIRS}, n as (select conv_id, turn, {NORM.replace('{x}', 'prediction')
 w as (select conv_id, turn, unnest(p) as w, 1 as a, 0 as b from n union all select conv_id, turn, unnest(t), 0, 1 from n),
 c as (select conv_id, turn, w, least(sum(a), sum(b)) as k from w group by all), s as (select conv_id, turn, sum(k) as same from c group by all),
 f as (select n.conv_id, n.turn, case when len(p) = 0 or len(t) = 0 then case when len(p) = len(t) then 1.0 else 0.0 end when same = 0 then 0.0 else 2.0 * same / (len(p) + len(t)) end as f1,
- case when array_to_string(p, ' ') = array_to_string(t, ' ') then 1.0 else 0.0 end as exact from n left join s using (conv_id, turn))"""
+ cast(case when array_to_string(p, ' ') = array_to_string(t, ' ') then 1.0 else 0.0 end as double) as exact from n left join s using (conv_id, turn))"""
 
 
 @query("token_f1", f"with {F1} select conv_id, turn, round(f1, 9) as f1, exact from f")

@@ -107,7 +107,7 @@ def output_class_by_line(spark, sf_dir):
 
 
 @query("definition_sites", f"""
-with t as (select page_id, unnest(range(len(ls))) as line_no, unnest(ls) as line from (select page_id, {sql.line_list('html')} as ls from pages where html <> '')),
+with t as (select page_id, cast(unnest(range(len(ls))) as integer) as line_no, unnest(ls) as line from (select page_id, {sql.line_list('html')} as ls from pages where html <> '')),
 p as (select page_id, line_no, line, list_filter({sql.pieces('line')}, lambda w: strlen(w) >= 3 and regexp_full_match(w, '[A-Za-z_][A-Za-z0-9_]*'))[1] as phrase from t),
 q as (select *, instr(line, phrase) as pos from p where phrase is not null),
 r as (select *, left(line, pos - 1) as b, substr(line, pos + length(phrase)) as a from q)

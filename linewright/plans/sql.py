@@ -49,7 +49,7 @@ def line_list(t: str) -> str:
 
 def lines(table: str = "documents", key: str = "doc_id", text: str = "text", name: str = "lines") -> str:
     """A common table of (key, line_no, line); line_no from 0."""
-    return (f"{name} as (select {key}, unnest(range(len(ls))) as line_no, unnest(ls) as line from "
+    return (f"{name} as (select {key}, cast(unnest(range(len(ls))) as integer) as line_no, unnest(ls) as line from "
             f"(select {key}, {line_list(text)} as ls from {table} where {text} <> ''))")
 
 

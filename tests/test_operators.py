@@ -87,6 +87,13 @@ def test_reasoning(spark):
     assert compress.compress_reply(fenced, ("k",)).first().text == "done\n```\ncode();\ndone\n"
 
 
+def test_bodies(spark):
+    said = "Let me check this first. I will need to look. " * 12 + 'a "quoted" end'
+    bodies = spark.createDataFrame([(1, json.dumps({"choices": [{"message": {"content": said}}]})), (2, json.dumps({"choices": []})), (3, "no json " * 100)], "id int, body string")
+    got = compress.compress_bodies(bodies).collect()
+    assert len(got) == 1 and json.loads(got[0].body)["choices"][0]["message"]["content"] == 'a "quoted" end'
+
+
 def test_json_and_state(spark):
     rows = [{"kind": "file", "size": i, "note": "n" * 40, "nul": None} for i in range(12)]
     text = json.dumps(rows)
