@@ -197,11 +197,12 @@ def dead_summary(spark, sf_dir):
 with n as (select n_nationkey, 'rename ''a' || n_nationkey || ''' -> ''b' || n_nationkey || '''; s/old_' || n_name || '/new/ and change ''x'' to ''y''' as note from nation)
 select n_nationkey, 'a' || n_nationkey as old, 'b' || n_nationkey as new, 0 as i from n union all select n_nationkey, 'x', 'y', 1 from n
 union all select n_nationkey, 'old_' || regexp_extract(note, 'old_([^/]*)/', 1), 'new', 2 from n
+union all select n_nationkey, 'rename ''a' || n_nationkey || '''', '''b' || n_nationkey || '''; s/old_' || regexp_extract(note, 'old_([^/]*)/', 1) || '/new/ and change ''x'' to', 3 from n
 """)
 def extracted_fixes(spark, sf_dir):
     s = F.col("n_nationkey").cast("string")
     note = F.concat(F.lit("rename 'a"), s, F.lit("' -> 'b"), s, F.lit("'; s/old_"), F.col("n_name"), F.lit("/new/ and change 'x' to 'y'"))
-    rows = table(spark, sf_dir, "nation").select("n_nationkey", F.posexplode(F.slice(code.extract_fixes(note), 1, 3)).alias("i", "f"))
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", F.posexplode(code.extract_fixes(note)).alias("i", "f"))
     return rows.select("n_nationkey", "f.old", "f.new", "i")
 
 

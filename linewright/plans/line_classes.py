@@ -157,12 +157,12 @@ def stripped_lines(spark, sf_dir):
 
 
 @query("truncated_lines", TRIMMED + """
-select doc_id, line_no, case when strlen(line) > 120 then left(line, 100) || '... (' || strlen(line) || ' chars)' else line end as line
-from t where strlen(line) = length(line)
+select doc_id, line_no, case when strlen(line) > 120 then
+  left(line, len(list_filter(range(100), lambda i: i < length(line) and strlen(left(line, i)) < 100))) || '... (' || strlen(line) || ' chars)' else line end as line
+from t
 """)
 def truncated_lines(spark, sf_dir):
-    rows = line_rows(spark, sf_dir).filter(F.octet_length("line") == F.length("line"))
-    return rows.select("doc_id", "line_no", C.truncate_line(F.col("line"), 120).alias("line"))
+    return line_rows(spark, sf_dir).select("doc_id", "line_no", C.truncate_line(F.col("line"), 120).alias("line"))
 
 
 LEVELLED = "'t=' || event_id || ' [' || upper(event_type) || '] [' || event_type || '] done'"
