@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linewright.llm import byte_bpe, chat_format, decontamination, matroska, quality, repeats, secret_scan, simhash, toxicity
+from linewright.llm import byte_bpe, chat_format, decontamination, matroska, quality, repeats, secret_scan, simhash, token_scan, toxicity
 from linewright.llm.base import table
 
 #: Rank file of the encoder; any path that the driver can read will do.
@@ -28,6 +28,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op2_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_scan.token_counts(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
+
+
 def op3_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.features(matroska.store(table(spark, sf_dir, "documents")))
 
@@ -69,6 +73,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_separator_scan": op2_separator_scan,
     "op3_matroska": op3_matroska,
     "op4_chat_format": op4_chat_format,
     "op5_quality": op5_quality,
