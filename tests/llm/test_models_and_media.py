@@ -225,7 +225,7 @@ def test_pipeline_run(spark, sf):
 
 def test_every_query_has_its_columns(spark, sf):
     want = {
-        "op1": "doc_id n_assign n_access n_hex base_sha256 spans", "op3": "doc_id n_bytes payload_bytes payload_sha256 tail_crc32 media_bytes media_sha256 feature",
+        "op1": "doc_id n_assign n_access n_hex base_sha256 spans", "op2": "doc_id n_tokens", "op3": "doc_id n_bytes payload_bytes payload_sha256 tail_crc32 media_bytes media_sha256 feature",
         "op4": "conv_id n_turns turns_sha256 loss_chars loss_sha256 formatted_chars", "op5": "doc_id held_out score predicted", "op6": "doc_id held_out score predicted",
         "op7": "doc_id fingerprint component_id", "op8": "doc_id n_bytes n_removed n_spans kept_sha256",
         "op9": "doc_id n_words n_hit n_items items_sha256 contaminated", "op10": "doc_id n_tokens ids_sha256 decoded_sha256",

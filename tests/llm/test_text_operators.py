@@ -12,7 +12,7 @@ import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from linewright.llm import byte_bpe, decontamination, queries, repeats, secret_scan
+from linewright.llm import byte_bpe, decontamination, queries, repeats, secret_scan, token_scan
 
 sha = lambda s: hashlib.sha256(s if isinstance(s, bytes) else s.encode()).hexdigest()
 
@@ -60,6 +60,25 @@ def test_bpe_query(spark, odd, none, library):
     assert [bytes(r.decoded) for r in byte_bpe.decode(some, queries.RANKS).collect()] == [(r.text or "").encode() for r in odd.limit(3).collect()]
 
 
+@pytest.mark.parametrize("block", [1 << 15, 3])
+def test_separator_scan(spark, odd, none, library, monkeypatch, block):
+    monkeypatch.setattr(token_scan, "BLOCK", block)
+    docs = odd.filter("doc_id is null or doc_id <> 5") if block == 3 else odd
+    rows = token_scan.token_counts(docs.repartition(3), queries.RANKS, public_tokenizers.PATTERN).collect()
+    want = [(r.doc_id, len(library.encode_ordinary(r.text or ""))) for r in docs.collect()]
+    assert sorted(((r.doc_id, r.n_tokens) for r in rows), key=repr) == sorted(want, key=repr)
+    assert len({(r.file, r.ordinal) for r in rows}) == len(rows)
+    assert token_scan.token_counts(none, queries.RANKS, public_tokenizers.PATTERN).count() == 0
+
+
+def test_separators_across_blocks(spark):
+    ids = [7, 8, 50256, 50256, 1, 2, 3, 4, 5, 6, 7, 50256, 9]
+    cut = [np.array(ids[i : i + 3], "<u4").tobytes() for i in range(0, len(ids), 3)]
+    blocks = spark.createDataFrame([(0, i, b) for i, b in enumerate(cut)] + [(1, 0, None), (1, 1, np.array([4, 50256], "<u4").tobytes())], "file int, block long, data binary")
+    got = [(r.file, r.ordinal, r.n_tokens) for r in token_scan.scan(blocks).orderBy("file", "ordinal").collect()]
+    assert got == [(0, 0, 2), (0, 1, 0), (0, 2, 7), (1, 0, 1)]
+
+
 def plain_windows(docs, items, width=10):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     windows = {}
