@@ -23,8 +23,8 @@ from linewright.llm.labelled import drawn, fold, labels_by_id, with_texts
 POSITIVE_ROWS, UNLABELLED_ROWS, BITS = 4000, 8000, 20
 #: Lengths in bytes of the word beginnings; a whole word counts too.
 BEGINNINGS = (3, 4, 5, 6, 7, 8, 9, 10)
-#: Most features of a model; least share of the toxic texts that hold one, and least rows; least z of its shares.
-MOST_WORDS, LEAST_SHARE, LEAST_ROWS, LEAST_Z, LEAST_TOXIC = 128, 0.04, 3, 5.0, 0.6
+#: Least toxic texts that hold a feature, least z of its shares, and least toxic share of the texts that hold it.
+LEAST_ROWS, LEAST_Z, LEAST_TOXIC = 3, 5.0, 0.6
 #: Entries after which a worker's memo of words is emptied.
 MEMO_WORDS = 400_000
 
@@ -41,7 +41,7 @@ def word_ids(text: bytes) -> list[int]:
 
 
 class Model:
-    """Weights of a few hashed features, and a bias."""
+    """Weights of the chosen hashed features, and a bias."""
 
     def __init__(self, words: np.ndarray, weights: np.ndarray, bias: float) -> None:
         self.words, self.weights, self.bias = words, weights, bias
@@ -52,9 +52,10 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def chosen_words(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> np.ndarray:
-    """Features whose shares of both sets differ by LEAST_Z standard errors, the clearest first.
+    """All features whose shares of both sets differ by LEAST_Z standard errors, in order of their hashes.
 
-    By the prior, at least LEAST_TOXIC of the unlabelled texts that hold a feature must be toxic.
+    By the prior, at least LEAST_TOXIC of the unlabelled texts that hold a feature must be toxic. A feature needs
+    LEAST_ROWS toxic texts, however many there are of other languages.
     """
     n_p, n_u = len(positive), len(unlabelled)
     f_p, f_u = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
@@ -63,9 +64,28 @@ def chosen_words(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior
             counts[x] += 1
     both = (f_p + f_u) / (n_p + n_u)
     z = (f_p / n_p - f_u / n_u) / np.sqrt(np.maximum(both * (1 - both), 1e-12) * (1 / n_p + 1 / n_u))
-    z[(f_p < max(LEAST_ROWS, LEAST_SHARE * n_p)) | (prior * f_p / n_p < LEAST_TOXIC * f_u / n_u)] = 0
-    best = np.argsort(-z, kind="stable")[:MOST_WORDS]
-    return np.sort(best[z[best] >= LEAST_Z])
+    z[(f_p < LEAST_ROWS) | (prior * f_p / n_p < LEAST_TOXIC * f_u / n_u)] = 0
+    return np.flatnonzero(z >= LEAST_Z)
+
+
+class Indicators:
+    """Which rows hold which words, and a last column of ones; only what is held takes memory."""
+
+    def __init__(self, rows: list[np.ndarray], words: np.ndarray) -> None:
+        column = np.full(1 << BITS, -1, np.int32)
+        column[words] = np.arange(len(words))
+        held = [c[c >= 0] for c in (column[x] for x in rows)]
+        self.size = len(rows), len(words) + 1
+        self.row = np.repeat(np.arange(len(rows)), [*map(len, held)])
+        self.column = np.concatenate(held)
+
+    def times(self, weights: np.ndarray) -> np.ndarray:
+        """For each row the sum of its columns' weights."""
+        return np.bincount(self.row, weights[self.column], self.size[0]) + weights[-1]
+
+    def shared(self, rows: np.ndarray) -> np.ndarray:
+        """For each column the sum of its rows' values."""
+        return np.append(np.bincount(self.column, rows[self.row], self.size[1] - 1), rows.sum())
 
 
 def train(
@@ -78,21 +98,14 @@ def train(
         return Model(np.zeros(0, np.int64), np.zeros(0), base)
     words = chosen_words(positive, unlabelled, prior)
 
-    def table(rows: list[np.ndarray]) -> np.ndarray:
-        out = np.zeros((len(rows), len(words) + 1))
-        for i, x in enumerate(rows):
-            out[i, :-1] = np.isin(words, x, assume_unique=True)
-        out[:, -1] = 1
-        return out
-
-    x_p, x_u = table(positive), table(unlabelled)
+    x_p, x_u = Indicators(positive, words), Indicators(unlabelled, words)
     at, first, second = np.append(np.zeros(len(words)), base), 0.0, 0.0
     for t in range(1, rounds + 1):
-        z_p, z_u = x_p @ at, x_u @ at
+        z_p, z_u = x_p.times(at), x_u.times(at)
         bracket = np.logaddexp(0, z_u).mean() - prior * np.logaddexp(0, z_p).mean()
-        as_negative_p, as_negative_u = sigmoid(z_p) / len(z_p) @ x_p, sigmoid(z_u) / len(z_u) @ x_u
+        as_negative_p, as_negative_u = x_p.shared(sigmoid(z_p) / len(z_p)), x_u.shared(sigmoid(z_u) / len(z_u))
         if bracket >= 0:
-            as_positive_p = -sigmoid(-z_p) / len(z_p) @ x_p
+            as_positive_p = x_p.shared(-sigmoid(-z_p) / len(z_p))
             slope = prior * as_positive_p + as_negative_u - prior * as_negative_p
         else:
             slope = prior * as_negative_p - as_negative_u
@@ -135,7 +148,7 @@ def score(
 ) -> DataFrame:
     """`keep` and a score from 0 to 1 for every whole text, higher for toxic; null counts as empty text.
 
-    The model holds at most MOST_WORDS features. One row for each row of df, without a shuffle.
+    The features are bounded by those of the sampled toxic texts. One row for each row of df, without a shuffle.
     """
     weights, bias = dict(zip(model.words.tolist(), model.weights.tolist(), strict=True)), model.bias
 

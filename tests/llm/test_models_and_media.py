@@ -182,6 +182,19 @@ def test_risk_never_learns_negatives():
     assert min(map(score, toxic)) > 0.7 > max(map(score, clean))
 
 
+def test_toxic_words_of_a_rare_language_count():
+    r = np.random.default_rng(4)
+    clean = [np.unique(r.integers(0, 5000, 20)) for _ in range(3000)]
+    often = [np.unique([*r.integers(0, 5000, 20), *((7 * i + np.arange(7)) % 196 + 6000)]) for i in range(588)]
+    rare = [np.unique([*r.integers(0, 5000, 20), 9000]) for _ in range(24)]
+    toxic = [*often[:294], *rare[:12]]
+    model = toxicity.train(toxic, [*clean, *often, *rare], 0.17)
+    assert {*range(6000, 6196), 9000} <= set(model.words.tolist())
+    weight = dict(zip(model.words.tolist(), model.weights.tolist(), strict=True))
+    score = lambda x: float(toxicity.sigmoid(np.float64(model.bias + sum(weight.get(f, 0) for f in x.tolist()))))
+    assert min(map(score, rare[12:])) > 0.7 and sum(score(x) > 0.7 for x in clean) < 30
+
+
 @pytest.mark.parametrize(("kind", "label", "least", "recall", "precision"), [(quality, "quality", 0.3, 0.97, 0.97), (toxicity, "toxic", 0.7, 0.75, 0.95)])
 def test_held_out(spark, kind, label, least, recall, precision):
     """The smaller tables have some dozen toxic labels, and in some languages too few to learn from."""
