@@ -151,11 +151,20 @@ MEMBERS = ("u8", "i8", "i4", "i8", "i2", "i2", AROUND)  # bucket, document, part
 
 
 def _first_of(bucket: np.ndarray, ctx: np.ndarray, doc: np.ndarray, part: np.ndarray, place: np.ndarray):
-    """Order by bucket, surroundings and earliest start; flags of new buckets and of new surroundings in it."""
+    """Order by bucket, surroundings and earliest start; flags of new buckets and of new surroundings in it.
+
+    Repeated rows of a document give the same starts, of which one is left in the order.
+    """
     order = np.lexsort((place, part, doc, ctx, bucket))
     b, c = bucket[order], ctx[order]
     new_b = np.concatenate(([True], b[1:] != b[:-1]))
-    return order, new_b, new_b | np.concatenate(([True], c[1:] != c[:-1]))
+    new_c = new_b | np.concatenate(([True], c[1:] != c[:-1]))
+    same = np.flatnonzero(~new_c)
+    for column in (place, doc, part):
+        same = same[column[order[same]] == column[order[same - 1]]]
+    if not len(same):
+        return order, new_b, new_c
+    return tuple(np.delete(x, same) for x in (order, new_b, new_c))
 
 
 def _span(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

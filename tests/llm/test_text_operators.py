@@ -164,6 +164,20 @@ def test_repeats_odd(spark, odd, none):
     assert repeats.remove_repeats(none).count() == 0
 
 
+def test_repeated_rows_are_one_document(spark):
+    r = random.Random(8)
+    text = lambda n: "".join(r.choice("abcdefg ") for _ in range(n))
+    one, two, own = text(400), text(300), text(120)
+    rows = [(1, one)] * 3 + [(2, own + two)] * 2 + [(3, one[50:] + two)] * 2 + [(4, "ab" * 200)] * 2
+    want = plain_repeats([(i, t.encode()) for i, t in sorted(set(rows))])
+    assert want[1][1] == 0 and want[3][1] > 0
+    for parts in (1, 5):  # within a map task, and across tasks
+        got = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect()
+        assert sorted((x.doc_id, (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256)) for x in got) == sorted((i, want[i]) for i, _ in rows)
+    ranked = repeats.remove_repeats(spark.createDataFrame([(1, one)] * 2 + [(1, two)] * 2, "doc_id long, text string")).collect()
+    assert [x.n_removed for x in ranked] == [0] * 4
+
+
 def test_long_texts_are_taken_in_parts(monkeypatch):
     r = random.Random(1)
     texts = [bytes(r.choice(b"abc") for _ in range(n)) for n in (5, 99, 100, 700, 3000)] + [b"ab" * 400]
