@@ -98,10 +98,10 @@ OPENERS = ("Let me check this first. ", "Based on the text. So, ", "Now I can se
 
 @query("reasoning_phrases")
 def reasoning_phrases(spark, sf_dir):
-    """Replies that begin with a phrase to be removed, three times over."""
+    """Whole replies behind a phrase to be removed, eight times over; null where the rule keeps a reply."""
     rows = talk(spark, sf_dir).filter("role = 'assistant'")
     opener = F.get(F.array(*map(F.lit, OPENERS)), (F.col("turn") % 3).cast("int"))
-    text = F.concat(F.repeat(opener, 8), F.lit("That is "), F.substring("text", 1, 60))
+    text = F.concat(F.repeat(opener, 8), F.lit("That is "), F.col("text"))
     return rows.select("conv_id", "turn", text.alias("text")).select("conv_id", "turn", compress.without_phrases(F.col("text")).alias("kept"),
                                                                     compress.compress_reasoning(F.col("text")).alias("text"))
 

@@ -1,11 +1,14 @@
 """Every registered query with SQL against DuckDB; the others must run and give rows that keep their promises."""
 
+import json
 import math
+import re
 
 import duckdb
 import pytest
 
-from linewright.plans import catalogue
+from linewright.operators import compress
+from linewright.plans import catalogue, conversations
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -38,3 +41,28 @@ def test_twin(spark, sf, base, name):
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLES)))
 def test_rows(spark, sf, name):
     assert catalogue.QUERIES[name](spark, sf).count() >= 0
+
+
+def plain_prose(text):
+    for p in compress.PHRASES:
+        text = re.sub("(?i)" + p, " ", text)
+    return " ".join(text.split())
+
+
+def plain_reasoning(text):
+    made, size = plain_prose(text), len(text.encode())
+    return made if size >= 200 and not any(m in text for m in compress.CODE_MARKS) and len(made.encode()) < size * 0.6 else None
+
+
+def replies(base):
+    rows = base.execute("select conv_id, turn, text from conversations where role = 'assistant'").fetchall()
+    return {(c, t): text for c, t, text in rows}
+
+
+def test_reasoning_phrases_of_whole_replies(spark, sf, base):
+    want = {}
+    for (c, t), text in replies(base).items():
+        whole = conversations.OPENERS[t % 3] * 8 + "That is " + text
+        want[c, t] = (plain_prose(whole), plain_reasoning(whole))
+    got = {(r.conv_id, r.turn): (r.kept, r.text) for r in catalogue.QUERIES["reasoning_phrases"](spark, sf).collect()}
+    assert got == want
