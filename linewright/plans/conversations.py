@@ -187,7 +187,7 @@ def annotated_messages(spark, sf_dir):
 @query("response_bodies")
 def response_bodies(spark, sf_dir):
     rows = talk(spark, sf_dir).filter("role = 'assistant'")
-    text = F.concat(F.repeat(F.lit("Let me check this first. I will need to look. "), 12), F.substring("text", 1, 50))
+    text = F.concat(F.repeat(F.lit("Let me check this first. I will need to look. "), 12), F.col("text"))
     body = F.to_json(F.struct(F.array(F.struct(F.struct(text.alias("content")).alias("message"))).alias("choices")))
     ident = F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
     return compress.compress_bodies(rows.select(ident.alias("id"), body.alias("body")))

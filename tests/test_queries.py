@@ -66,3 +66,16 @@ def test_reasoning_phrases_of_whole_replies(spark, sf, base):
         want[c, t] = (plain_prose(whole), plain_reasoning(whole))
     got = {(r.conv_id, r.turn): (r.kept, r.text) for r in catalogue.QUERIES["reasoning_phrases"](spark, sf).collect()}
     assert got == want
+
+
+def test_response_bodies_of_whole_replies(spark, sf, base):
+    want = {}
+    for (c, t), text in replies(base).items():
+        said = "Let me check this first. I will need to look. " * 12 + text
+        lines = re.sub(r"\r?\n", "\n", said).removesuffix("\n") + "\n"
+        assert "```" not in said
+        short, piece = plain_reasoning(said), plain_reasoning(lines)
+        if short is not None or piece is not None:
+            want[f"{c}-{t}"] = short if short is not None else piece + "\n"
+    got = {r.id: json.loads(r.body)["choices"][0]["message"]["content"] for r in catalogue.QUERIES["response_bodies"](spark, sf).collect()}
+    assert want and got == want
