@@ -16,10 +16,10 @@ import ahocorasick
 import regex
 from pyspark.sql import DataFrame
 
-from linewright.llm.base import map_rows, worker_cache
+from linewright.llm.base import Memo, map_rows, worker_cache
 
-#: Entries after which a worker's memo of pieces or of token pairs is emptied.
-MEMO_PIECES, MEMO_PAIRS = 400_000, 800_000
+#: Bytes of a worker's memo of pieces, and entries of that of token pairs, at which they are emptied.
+MEMO_BYTES, MEMO_PAIRS = 128 << 20, 800_000
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -42,7 +42,7 @@ class ByteBpe:
         self._pair: dict[int, bool] = {}
         #: Tokens that no merge makes; only a piece that equals one gets it.
         self.unmade = frozenset(r for r in self.token if self.split(r) is None)
-        self._piece: dict[str, tuple[int, ...]] = {}
+        self._piece = Memo(MEMO_BYTES)
 
     def merged(self, data: bytes, below: int) -> list[int]:
         """Tokens after all merges of rank under `below`, in rank order, leftmost first."""
@@ -146,18 +146,13 @@ class ByteBpe:
         return ids
 
     def piece(self, piece: str) -> tuple[int, ...]:
-        """Memoised ids of one piece."""
-        ids = self._piece.get(piece)
-        if ids is None:
-            if len(self._piece) >= MEMO_PIECES:
-                self._piece.clear()
-            ids = self._piece[piece] = tuple(self.encode_piece(piece.encode()))
-        return ids
+        """Ids of one piece, which are memoised."""
+        return self._piece.put(piece, tuple(self.encode_piece(piece.encode())))
 
     def encode(self, text: str) -> list[int]:
-        get, out = self.piece, []
+        known, out = self._piece.held.get, []
         for p in self.find(text):
-            out.extend(get(p))
+            out.extend(known(p) or self.piece(p))
         return out
 
     def decode(self, ids: list[int]) -> bytes:
@@ -174,7 +169,7 @@ def _work(shared, pattern: str, ids: bool) -> Callable[[], Callable[[bytes], tup
         bpe = _encoder(shared.value, pattern)
 
         def digest(data: bytes) -> tuple:
-            codes = bpe.encode(data.decode())
+            codes = bpe.encode(data.decode("utf-8", "replace"))
             plain = hashlib.sha256(bpe.decode(codes)).hexdigest()
             joined = ",".join(map(str, codes)).encode()
             row = (len(codes), hashlib.sha256(joined).hexdigest(), plain)
@@ -197,8 +192,9 @@ def encode(
 
     Columns: `keep`, n_tokens, ids_sha256 (of the decimal ids joined by commas), decoded_sha256 and, with
     `ids`, the ids. `vocabulary` is the path of a rank file, read on the driver and broadcast: its size is
-    that of one vocabulary, whatever the corpus. Null and empty texts have no tokens. Repeated rows give
-    repeated results; an empty table gives none; other columns of df are neither read nor returned.
+    that of one vocabulary, whatever the corpus. Null and empty texts have no tokens; bytes that are no UTF-8
+    are read as U+FFFD. Repeated rows give repeated results; an empty table gives none; other columns of df are
+    neither read nor returned.
     """
     with open(vocabulary, "rb") as f:
         shared = df.sparkSession.sparkContext.broadcast(f.read())
@@ -207,7 +203,10 @@ def encode(
 
 
 def decode(df: DataFrame, vocabulary: str, ids_col: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Bytes of every row's ids, as column `decoded`. Null ids give no bytes; an unknown id is an error."""
+    """Bytes of every row's ids, as column `decoded`: none for null ids, null if an id is null or not in the vocabulary.
+
+    Repeated rows give repeated results; an empty table gives none.
+    """
     from pyspark.sql import functions as F
 
     with open(vocabulary, "rb") as f:
@@ -215,7 +214,8 @@ def decode(df: DataFrame, vocabulary: str, ids_col: str = "ids", keep: tuple[str
 
     @F.udf("binary", useArrow=True)
     def bytes_of(ids):
-        token = worker_cache(("bpe-tokens", hash(shared.value)), lambda: {r: t for t, r in read_ranks(shared.value).items()})
-        return b"".join([token[int(i)] for i in ids]) if ids is not None else b""
+        token = worker_cache(("bpe-tokens", hashlib.sha256(shared.value).digest()), lambda: {r: t for t, r in read_ranks(shared.value).items()})
+        parts = [None if i is None else token.get(int(i)) for i in ids] if ids is not None else []
+        return None if None in parts else b"".join(parts)
 
     return df.select(*[df[c] for c in keep], bytes_of(df[ids_col]).alias("decoded"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linewright.llm.base import small_batches, worker_cache
+from linewright.llm.base import slices, worker_cache
 
 #: The template: BEGIN, then for each turn HEAD role BODY text END.
 BEGIN, HEAD, BODY, END = "<s>", "[INST]", "[/INST]", "</s>"
@@ -120,9 +120,12 @@ def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
 
 
 def conversations(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """(conv, turns): the turns of each conversation as (turn, role, text), sorted; null roles and texts are empty."""
-    each = F.struct(rows[turn].alias("turn"), F.coalesce(rows[role], F.lit("")).alias("role"),
-                    F.coalesce(rows[text], F.lit("")).alias("text"))
+    """(conv, turns): the turns of each conversation as (turn, role, text), sorted; null roles and texts are empty.
+
+    Bytes that are no UTF-8 become U+FFFD.
+    """
+    each = F.struct(rows[turn].alias("turn"), F.make_valid_utf8(F.coalesce(rows[role], F.lit(""))).alias("role"),
+                    F.make_valid_utf8(F.coalesce(rows[text], F.lit(""))).alias("text"))
     return rows.groupBy(rows[conv].alias(conv)).agg(F.sort_array(F.collect_list(each)).alias("turns"))
 
 
@@ -140,7 +143,6 @@ def format_conversations(
     of a tokenizer file, read on the driver and broadcast: one vocabulary, whatever the corpus.
     """
     spark = rows.sparkSession
-    small_batches(spark)
     with open(vocabulary, encoding="utf-8") as f:
         shared = spark.sparkContext.broadcast(f.read())
     grouped = conversations(rows, conv, turn, role, text)
@@ -149,7 +151,7 @@ def format_conversations(
     wanted = frozenset(learned)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             encoder = worker_cache(("chat", hash(shared.value)), lambda: Encoder(shared.value))
             talks = [[(t["role"], t["text"]) for t in turns] for turns in batch.column(1).to_pylist()]
             rendered = [render(t, encoder.escaper, wanted) for t in talks]
@@ -169,12 +171,11 @@ def read_back(formatted: DataFrame, conv: str = "conv_id") -> DataFrame:
 
     Columns: conv, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_tokens, loss_tokens.
     """
-    small_batches(formatted.sparkSession)
     kind = formatted.schema[conv].dataType.simpleString()
     names = [conv, "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_tokens", "loss_tokens"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for i, text in enumerate(batch.column(1).to_pylist()):
                 starts, ends, mask = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in (3, 4, 5))
@@ -184,8 +185,7 @@ def read_back(formatted: DataFrame, conv: str = "conv_id") -> DataFrame:
                 rows.append((len(turns), hashlib.sha256(said.encode()).hexdigest(), len(loss),
                              hashlib.sha256(loss.encode()).hexdigest(), len(text), len(starts), int(mask.sum())))
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
-            columns = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
-            made = [pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)]
+            made = [pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=names)
 
     return formatted.select(conv, "formatted", "ids", "starts", "ends", "mask").mapInArrow(

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linewright.llm.base import cut
+from linewright.llm.base import cut, join_groups
 
 
 def _stars(pairs: DataFrame, larger_only: bool) -> DataFrame:
     """Link each neighbour to the least of the node and its neighbours; pairs are (node, neighbour)."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("_lw_m")).select("u", F.least("u", "_lw_m").alias("m"))
-    joined = pairs.join(least, "u")
+    least = pairs.groupBy("u").agg(F.min("v").alias("_lw_m"), F.count("*").alias("n")).select("u", F.least("u", "_lw_m").alias("m"), "n")
+    joined = join_groups(pairs, least, "u", "n")
     if larger_only:
         return joined.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     own = least.filter("m < u").select("u", F.col("m").alias("v"))
@@ -22,8 +22,9 @@ def components(links: DataFrame) -> DataFrame:
     """(node, root): for every node of the links (a, b), the least node that can be reached from it.
 
     Self-links and repeated links do no harm; a node without links has no row; nulls are ignored. Each round
-    is two joins on the node with minima aggregated before the shuffle, so a hub is split like any skewed
-    join key; rounds end when the links stay as they are, after about the logarithm of the longest path.
+    is two joins on the node. Minima are aggregated before their shuffle, and the links of a hub stay where they
+    are (see join_groups), so none is dealt to one task. Rounds end when the links stay as they are, after about
+    the logarithm of the longest path.
     """
     edges = (
         links.filter("a is not null and b is not null and a <> b")

@@ -17,12 +17,15 @@ def drawn(ids: DataFrame, id_col: str, most: int) -> DataFrame:
 
 
 def with_texts(sample: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """A bounded sample (column _lw_id and others) beside the texts of its documents, one text for an id.
+    """A bounded sample (column _lw_id, each id once, and others) beside the texts of its documents.
 
-    The sample is broadcast: its size is bounded by drawn(), so the texts are not shuffled.
+    One row for an id, however often it is repeated: of its texts the least, null as empty. The sample is
+    broadcast: its size is bounded by drawn(), so only the sample's texts are shuffled.
     """
-    texts = docs.select(docs[doc_id].alias("_lw_id"), docs[text].alias("_lw_text"))
-    return texts.join(F.broadcast(sample), "_lw_id")
+    texts = docs.select(docs[doc_id].alias("_lw_id"), F.coalesce(docs[text], F.lit("")).alias("_lw_text"))
+    others = [c for c in sample.columns if c != "_lw_id"]
+    found = texts.join(F.broadcast(sample), "_lw_id")
+    return found.groupBy("_lw_id", *others).agg(F.min("_lw_text").alias("_lw_text"))
 
 
 def labels_by_id(labels: DataFrame, label_id: str, label: str) -> DataFrame:

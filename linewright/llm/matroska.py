@@ -377,17 +377,23 @@ def packets(df: DataFrame, media_col: str = "media", keep: tuple[str, ...] = ("d
 
 
 def _feature_row(data: bytes) -> tuple:
-    media = read_matroska(data)
+    try:
+        media = read_matroska(data)
+    except MatroskaError as e:
+        return None, None, None, len(data), hashlib.sha256(data).hexdigest(), None, str(e)
     payload = payload_of(data, media)
     return (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data),
-            hashlib.sha256(data).hexdigest(), features_of(media, payload))
+            hashlib.sha256(data).hexdigest(), features_of(media, payload), None)
 
 
 def features(df: DataFrame, media_col: str = "media", keep: tuple[str, ...] = ("doc_id", "n_bytes")) -> DataFrame:
-    """`keep` and what the stored bytes say: payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature.
+    """`keep` and what the stored bytes say: payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256,
+    feature and error.
 
-    The payload is read back through the packet table. A file that can't be read is an error.
+    The payload is read back through the packet table. A file that can't be read, null and empty ones included,
+    has an error that says why, and its payload and feature are null; other rows' error is null. Repeated rows
+    give repeated results, an empty table none.
     """
     schema = ("payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, "
-              "feature string")
+              "feature string, error string")
     return map_rows(df, media_col, schema, lambda: _feature_row, list(keep))

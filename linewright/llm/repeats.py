@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linewright.llm.base import partitions, small_batches, texts_of, written
+from linewright.llm.base import partitions, slices, texts_of, written
 
 #: Bytes of a string and of the q-gram of the first buckets (a power of two, and 2q less than LENGTH).
 LENGTH, Q = 100, 32
@@ -409,7 +409,6 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     what was found. A string that occurs everywhere leaves each map task once. Identifiers have 64 bits.
     """
     spark = df.sparkSession
-    small_batches(spark)
     parts = 2 * partitions(spark)
     texts = df.select(df[id_col].cast("long").alias("_lw_id"), F.coalesce(df[text], F.lit("")).alias("_lw_text"))
     key = F.coalesce("_lw_id", F.lit(-(1 << 63)).cast("long"))

@@ -8,15 +8,19 @@ owners have is a widely copied example.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linewright.llm.base import written
+from linewright.llm.base import join_groups, written
 
 #: Kinds in the order in which equal starts are listed; the last is what ownership adds.
 KINDS = ("assign", "access", "hex", "live")
 #: Owners from which on a value is a widely copied example; distinct characters of a random-looking token.
 EXAMPLE_OWNERS, RANDOM_CHARACTERS = 3, 10
+#: Lengths that are summed at once.
+BLOCK = 64
 
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: Runs that fail the length hold no shorter match, so the length can stand in the pattern.
@@ -27,45 +31,40 @@ TOKEN = r"[A-Za-z0-9]{20,}+"
 SPAN = "array<struct<start:int,rank:int,end:int,hash:string>>"
 
 
-def spans(text: Column, pattern: str, rank: int, group: int = 0, least: int = 0) -> Column:
+def running(lengths: Column) -> Column:
+    """Running sums of an array, by blocks, so that the time stays in proportion to its size."""
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    add = lambda a, x, y: F.struct((a["at"] + x).alias("at"), F.concat(a["out"], F.array(y)).alias("out"))
+    last = F.greatest(F.ceil(F.size(lengths) / BLOCK).cast("int") - 1, F.lit(0))
+    blocks = F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(lengths, b * BLOCK + 1, BLOCK))
+    sums = F.transform(blocks, lambda block: F.aggregate(block, zero, lambda a, x: add(a, x, a["at"] + x)))
+    before = F.aggregate(sums, zero, lambda a, x: add(a, x["at"], a["at"]))["out"]
+    return F.flatten(F.zip_with(sums, before, lambda s, b: F.transform(s["out"], lambda x: x + b)))
+
+
+def walked(text: Column, pattern: str, rank: int, value: Callable[[Column], Column], wanted: Callable[[Column], Column]) -> Column:
     """Leftmost matches of a pattern that don't overlap, as spans in code points with a hash of the value.
 
-    The pieces between matches and the matches are walked side by side; `least` is the least length of a value.
+    Their ends are running sums over the pieces between matches and the matches, side by side; `wanted` tells of
+    a value whether its match stays.
     """
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    walked = F.aggregate(
-        F.arrays_zip(matches.alias("m"), values.alias("v"), F.slice(F.split(text, pattern, -1), 1, F.size(matches)).alias("g")),
-        F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out")),
-        lambda a, x: F.struct(
-            (a["at"] + F.length(x["g"]) + F.length(x["m"])).alias("at"),
-            F.when(F.length(x["v"]) >= least, F.concat(a["out"], F.array(F.struct(
-                (a["at"] + F.length(x["g"])).alias("start"), F.lit(rank).alias("rank"),
-                (a["at"] + F.length(x["g"]) + F.length(x["m"])).alias("end"), F.sha2(x["v"], 256).alias("hash"),
-            )))).otherwise(a["out"]).alias("out"),
-        ),
-        lambda a: a["out"],
-    )
-    return F.when(text.rlike(pattern), walked).otherwise(F.array().cast(SPAN))
+    pieces = F.zip_with(F.slice(F.split(text, pattern, -1), 1, F.size(matches)), matches, lambda g, m: F.length(g) + F.length(m))
+    each = F.zip_with(matches, running(pieces), lambda m, e: F.struct(m.alias("m"), value(m).alias("v"), e.alias("e")))
+    found = F.transform(F.filter(each, lambda x: wanted(x["v"])), lambda x: F.struct(
+        (x["e"] - F.length(x["m"])).alias("start"), F.lit(rank).alias("rank"), x["e"].alias("end"), F.sha2(x["v"], 256).alias("hash")))
+    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(SPAN))
+
+
+def spans(text: Column, pattern: str, rank: int, group: int = 0, least: int = 0) -> Column:
+    """Spans of a pattern's matches whose value, a group at the match's end, has `least` characters or more."""
+    value = (lambda m: F.regexp_extract(m, pattern, group)) if group else (lambda m: m)
+    return walked(text, pattern, rank, value, lambda v: F.length(v) >= least)
 
 
 def tokens(text: Column) -> Column:
     """Spans of long unlabelled tokens that mix letters and digits and look random."""
-    found = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
-    odd = F.exists(found, _random)
-    walked = F.aggregate(
-        F.arrays_zip(found.alias("m"), F.slice(F.split(text, TOKEN, -1), 1, F.size(found)).alias("g")),
-        F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out")),
-        lambda a, x: F.struct(
-            (a["at"] + F.length(x["g"]) + F.length(x["m"])).alias("at"),
-            F.when(_random(x["m"]), F.concat(a["out"], F.array(F.struct(
-                (a["at"] + F.length(x["g"])).alias("start"), F.lit(3).alias("rank"),
-                (a["at"] + F.length(x["g"]) + F.length(x["m"])).alias("end"), F.sha2(x["m"], 256).alias("hash"),
-            )))).otherwise(a["out"]).alias("out"),
-        ),
-        lambda a: a["out"],
-    )
-    return F.when(text.rlike(TOKEN) & odd, walked).otherwise(F.array().cast(SPAN))
+    return walked(text, TOKEN, 3, lambda m: m, _random)
 
 
 def _random(value: Column) -> Column:
@@ -82,14 +81,15 @@ def listed(found: Column) -> Column:
 
 
 def ownership(candidates: DataFrame) -> DataFrame:
-    """(hash, n_owners, n_repos) of candidates (hash, owner, repo): distinct owners, and repositories of them.
+    """(hash, n_owners, n_repos, n_rows) of candidates (hash, owner, repo): distinct owners, repositories of them, rows.
 
     Counted in steps, each pre-aggregated before its shuffle, so a value that is everywhere costs no more
     rows than it has owners and repositories in each task. Null owners and repositories count as one.
     """
     pairs = candidates.select("hash", F.coalesce("owner", F.lit("")).alias("owner"), F.coalesce("repo", F.lit("")).alias("repo"))
-    by_owner = pairs.distinct().groupBy("hash", "owner").agg(F.count("*").alias("n"))
-    return by_owner.groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("n").alias("n_repos"))
+    by_repo = pairs.groupBy("hash", "owner", "repo").agg(F.count("*").alias("n_rows"))
+    by_owner = by_repo.groupBy("hash", "owner").agg(F.count("*").alias("n"), F.sum("n_rows").alias("n_rows"))
+    return by_owner.groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("n").alias("n_repos"), F.sum("n_rows").alias("n_rows"))
 
 
 def find(
@@ -111,11 +111,14 @@ def find(
 
 
 def judge(found: DataFrame) -> DataFrame:
-    """(_lw_row, live, n_live, n_example, n_owners_most) of the rows of find() that have candidates."""
+    """(_lw_row, live, n_live, n_example, most_owners) of the rows of find() that have candidates.
+
+    A value that a large share of all candidates have is not dealt to one task: its counts go to the rows.
+    """
     each = found.select("_lw_row", "owner", "repo", F.explode(F.concat("base", "extra")).alias("s"))
     flat = each.select("_lw_row", "owner", "repo", "s", F.col("s.hash").alias("hash"))
     seen = ownership(flat.select("hash", "owner", "repo"))
-    judged = flat.join(seen, "hash")
+    judged = join_groups(flat, seen, "hash", "n_rows")
     one, many = F.col("n_owners") == 1, F.col("n_owners") >= EXAMPLE_OWNERS
     return judged.groupBy("_lw_row").agg(
         F.collect_list(F.when(one & (F.col("s.rank") == 3), F.col("s"))).alias("live"),
@@ -167,6 +170,7 @@ def redact(
         .filter(F.size("_lw_spans") > 0).groupBy("_lw_id", "_lw_hash").agg(F.max("_lw_spans").alias("_lw_spans"))
     )
     body = df[text]
+    spans_of = written(spans_of)  # read from there, a key that is repeated often can be split
     same = df[id_col].eqNullSafe(spans_of["_lw_id"]) & (F.xxhash64(F.coalesce(body, F.lit(""))) == spans_of["_lw_hash"])
     joined = df.join(spans_of, same, "left")
     walked = F.aggregate(

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linewright.llm.base import cut, map_rows, small_batches
+from linewright.llm.base import cut, join_groups, map_rows, slices
 from linewright.llm.components import components
 
 #: Words of a shingle, seed of its hash, and most differing bits of a link.
@@ -152,7 +152,6 @@ def links(distinct: DataFrame, column: str = "fingerprint", radius: int = RADIUS
     """
     if not 0 <= radius < len(BLOCKS):
         raise ValueError("the radius must be less than the number of blocks")
-    small_batches(distinct.sparkSession)
     choices = list(itertools.combinations(range(len(BLOCKS)), len(BLOCKS) - radius))
     starts = list(itertools.accumulate(BLOCKS, initial=0))
     free = [[bit for b in range(len(BLOCKS)) if b not in chosen for bit in range(starts[b], starts[b] + BLOCKS[b])]
@@ -176,9 +175,7 @@ def links(distinct: DataFrame, column: str = "fingerprint", radius: int = RADIUS
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
         parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in slices(batches):
             k, b, f = (batch.column(i).to_numpy() for i in range(3))
             f = f.view(np.uint64)
             same = (k == k[-1]) & (b == b[-1])
@@ -198,17 +195,17 @@ def links(distinct: DataFrame, column: str = "fingerprint", radius: int = RADIUS
 
 
 def classes(rows: DataFrame, id_col: str = "doc_id", column: str = "fingerprint", radius: int = RADIUS) -> DataFrame:
-    """(fingerprint, root, component_id): for each distinct fingerprint the least one and the smallest id
-    that links reach from it.
+    """(fingerprint, root, component_id, n): for each distinct fingerprint the least one and the smallest id
+    that links reach from it, and its number of rows.
 
     Equal fingerprints collapse before the search, so copies cost nothing there. Null ids take part through
-    their fingerprint, but are no class's id unless it has no other.
+    their fingerprint, but are no class's id unless it has no other. A class of any size is spread over tasks.
     """
-    distinct = cut(rows.groupBy(column).agg(F.min(id_col).alias("_lw_least")))
+    distinct = cut(rows.groupBy(column).agg(F.min(id_col).alias("_lw_least"), F.count("*").alias("n")))
     roots = components(links(distinct, column, radius)).withColumnRenamed("node", column)
-    rooted = distinct.join(roots, column, "left").withColumn("root", F.coalesce("root", column))
-    least = rooted.groupBy("root").agg(F.min("_lw_least").alias("component_id"))
-    return rooted.join(least, "root").select(column, "root", "component_id")
+    rooted = cut(distinct.join(roots, column, "left").withColumn("root", F.coalesce("root", column)))
+    least = rooted.groupBy("root").agg(F.min("_lw_least").alias("component_id"), F.count("*").alias("_lw_n"))
+    return join_groups(rooted, least, "root", "_lw_n").select(column, "root", "component_id", "n")
 
 
 def near_duplicates(
@@ -221,7 +218,7 @@ def near_duplicates(
     repeated rows give repeated results; an empty table gives none; other columns are not read.
     """
     rows = cut(fingerprints(df, text, (id_col,)))
-    found = rows.join(classes(rows, id_col, "fingerprint", radius), "fingerprint")
+    found = join_groups(rows, cut(classes(rows, id_col, "fingerprint", radius)), "fingerprint", "n")
     return found.select(id_col, F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -232,7 +229,7 @@ def keep_one(df: DataFrame, text: str = "text", id_col: str = "doc_id", radius:
     one. A null id is greater than any other. Other columns pass through unread, whatever their names.
     """
     rows = cut(fingerprints(df, text, (id_col,), "_lw_fp").withColumnRenamed(id_col, "_lw_id"))
-    found = rows.join(classes(rows, "_lw_id", "_lw_fp", radius), "_lw_fp")
+    found = join_groups(rows, cut(classes(rows, "_lw_id", "_lw_fp", radius)), "_lw_fp", "n")
     best = found.filter(F.col("_lw_id").eqNullSafe(F.col("component_id"))).groupBy("root", "_lw_id").agg(F.min("_lw_fp").alias("_lw_fp"))
     kept = best.select("_lw_id", F.col("_lw_fp").alias("_lw_best"))
     n, ids = rows.agg(F.count("*"), F.count_distinct("_lw_id")).first()

@@ -2,129 +2,159 @@
 
 Only confirmed toxic texts and unlabelled ones are used. The risk of a linear model with logistic loss is
 estimated as prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)); while the bracket is negative, the step goes
-up its slope instead. Features are indicators of words and of word beginnings whose share differs clearly
-between both sets.
+up its slope instead. Features are hashed indicators that a word, or a word beginning, stands in at least one,
+two or three different words of a text; all of them take part. Weights are not negative, so no word excuses
+another, and their sum is charged, which leaves few of them.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linewright.llm.base import map_rows
+from linewright.llm.base import Memo, map_rows
 from linewright.llm.decontamination import words_of
 from linewright.llm.labelled import drawn, fold, labels_by_id, with_texts
 
-#: Bounds of the confirmed and the unlabelled rows that are fitted on the driver; bits of a hashed feature.
-POSITIVE_ROWS, UNLABELLED_ROWS, BITS = 4000, 8000, 20
-#: Lengths in bytes of the word beginnings; a whole word counts too.
-BEGINNINGS = (3, 4, 5, 6, 7, 8, 9, 10)
-#: Least toxic texts that hold a feature, least z of its shares, and least toxic share of the texts that hold it.
-LEAST_ROWS, LEAST_Z, LEAST_TOXIC = 3, 5.0, 0.6
-#: Entries after which a worker's memo of words is emptied.
-MEMO_WORDS = 400_000
+#: Bounds of the confirmed and the unlabelled rows that are fitted on the driver, and of all their features together.
+POSITIVE_ROWS, UNLABELLED_ROWS, FEATURES = 4000, 8000, 48_000_000
+#: Bits of a hashed feature.
+BITS = 20
+#: Lengths in bytes of the word beginnings (a whole word counts too), and numbers of different words of an indicator.
+BEGINNINGS, TIMES = (3, 4, 5, 6, 7, 8, 9, 10), (1, 2, 3)
+#: Charge of the weights' sum, for one toxic text; it falls with the root of their number.
+CHARGE = 0.004
 
 
-def features_of(word: bytes) -> set[int]:
-    """Hashes of a word and of its beginnings."""
-    mask = (1 << BITS) - 1
-    return {zlib.crc32(b"=" + word) & mask, *(zlib.crc32(word[:n]) & mask for n in BEGINNINGS if n <= len(word))}
+def grams_of(word: bytes) -> list[int]:
+    """32-bit hashes of a word and of its beginnings."""
+    return [zlib.crc32(b"=" + word), *(zlib.crc32(word[:n]) for n in BEGINNINGS if n <= len(word))]
 
 
-def word_ids(text: bytes) -> list[int]:
-    """Hashes of the features of a text's words, sorted and distinct."""
-    return sorted({f for w in set(words_of(text)) for f in features_of(w)})
+def feature(gram: int, times: int) -> int:
+    """The hashed indicator of a gram in at least so many different words."""
+    return ((gram + times * 0x9E3779B1) * 0x85EBCA6B & 0xFFFFFFFF) >> (32 - BITS)
+
+
+def features_of(text: bytes) -> np.ndarray:
+    """Hashed features of a text, sorted and distinct."""
+    found = [g for w in set(words_of(text)) for g in grams_of(w)]
+    grams, times = np.unique(np.array(found, np.uint64), return_counts=True)
+    made = [(((grams[times >= t] + np.uint64(t * 0x9E3779B1)) * np.uint64(0x85EBCA6B)) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - BITS) for t in TIMES]
+    return np.unique(np.concatenate(made)).astype(np.int32)
 
 
 class Model:
-    """Weights of the chosen hashed features, and a bias."""
+    """Weights of hashed features (others weigh nothing), and a bias."""
 
-    def __init__(self, words: np.ndarray, weights: np.ndarray, bias: float) -> None:
-        self.words, self.weights, self.bias = words, weights, bias
+    def __init__(self, features: np.ndarray, weights: np.ndarray, bias: float) -> None:
+        self.features, self.weights, self.bias = features, weights, bias
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def chosen_words(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> np.ndarray:
-    """All features whose shares of both sets differ by LEAST_Z standard errors, in order of their hashes.
+def risk(z_p: np.ndarray, z_u: np.ndarray, prior: float) -> tuple[float, float]:
+    """prior * R_p(+), and the bracket R_u(-) - prior * R_p(-), of margins under logistic loss."""
+    return prior * np.logaddexp(0, -z_p).mean(), np.logaddexp(0, z_u).mean() - prior * np.logaddexp(0, z_p).mean()
+
 
-    By the prior, at least LEAST_TOXIC of the unlabelled texts that hold a feature must be toxic. A feature needs
-    LEAST_ROWS toxic texts, however many there are of other languages.
+def slopes(z_p: np.ndarray, z_u: np.ndarray, prior: float, whole: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Derivatives of the non-negative risk by each margin; with a negative bracket, of the bracket's negative.
+
+    With `whole` the bracket counts as it is.
     """
-    n_p, n_u = len(positive), len(unlabelled)
-    f_p, f_u = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
-    for counts, rows in ((f_p, positive), (f_u, unlabelled)):
-        for x in rows:
-            counts[x] += 1
-    both = (f_p + f_u) / (n_p + n_u)
-    z = (f_p / n_p - f_u / n_u) / np.sqrt(np.maximum(both * (1 - both), 1e-12) * (1 / n_p + 1 / n_u))
-    z[(f_p < LEAST_ROWS) | (prior * f_p / n_p < LEAST_TOXIC * f_u / n_u)] = 0
-    return np.flatnonzero(z >= LEAST_Z)
+    down_p, down_u = prior * sigmoid(z_p) / len(z_p), sigmoid(z_u) / len(z_u)
+    if whole or risk(z_p, z_u, prior)[1] >= 0:
+        return -prior * sigmoid(-z_p) / len(z_p) - down_p, down_u
+    return down_p, -down_u
+
+
+class Rows:
+    """Rows of sorted distinct features, end to end; and which of a few chosen features they hold."""
 
+    def __init__(self, rows: list[np.ndarray]) -> None:
+        self.rows, self.row, self.column, self.size = rows, np.zeros(0, np.int64), np.zeros(0, np.int64), 0
 
-class Indicators:
-    """Which rows hold which words, and a last column of ones; only what is held takes memory."""
+    def choose(self, column: np.ndarray, size: int) -> None:
+        """Hold the features whose `column` is not negative; it tells their place among `size` weights."""
+        held = [c[c >= 0] for c in (column[x] for x in self.rows)]
+        self.row = np.repeat(np.arange(len(held)), [*map(len, held)])
+        self.column, self.size = np.concatenate(held), size
 
-    def __init__(self, rows: list[np.ndarray], words: np.ndarray) -> None:
-        column = np.full(1 << BITS, -1, np.int32)
-        column[words] = np.arange(len(words))
-        held = [c[c >= 0] for c in (column[x] for x in rows)]
-        self.size = len(rows), len(words) + 1
-        self.row = np.repeat(np.arange(len(rows)), [*map(len, held)])
-        self.column = np.concatenate(held)
+    def margins(self, weights: np.ndarray, bias: float) -> np.ndarray:
+        return np.bincount(self.row, weights[self.column], len(self.rows)) + bias
 
-    def times(self, weights: np.ndarray) -> np.ndarray:
-        """For each row the sum of its columns' weights."""
-        return np.bincount(self.row, weights[self.column], self.size[0]) + weights[-1]
+    def chosen_slopes(self, by_row: np.ndarray) -> np.ndarray:
+        return np.bincount(self.column, by_row[self.row], self.size)
 
-    def shared(self, rows: np.ndarray) -> np.ndarray:
-        """For each column the sum of its rows' values."""
-        return np.append(np.bincount(self.column, rows[self.row], self.size[1] - 1), rows.sum())
+    def all_slopes(self, by_row: np.ndarray, into: np.ndarray) -> None:
+        for x, s in zip(self.rows, by_row.tolist(), strict=True):
+            into[x] += s
 
 
 def train(
     positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
-    rounds: int = 500, rate: float = 0.05, shrink: float = 1e-4,
+    steps: int = 8, most: int = 1000, rounds: int = 150, rate: float = 0.03,
 ) -> Model:
-    """Full-batch Adam on the non-negative risk. Without texts of both sets every text scores the prior."""
-    base = float(np.log(prior / (1 - prior)))
+    """Least charged non-negative risk. Without texts of both sets every text scores the prior.
+
+    In each step the slopes of all features are found, and up to `most` of those whose weight should leave zero
+    join the weights that did; these are fitted on by full-batch Adam with the charge as a proximal step. Features
+    whose slope is under the charge stay at zero, as the least risk asks.
+    """
+    bias = float(np.log(prior / (1 - prior)))
     if not sum(map(len, positive)) or not sum(map(len, unlabelled)):
-        return Model(np.zeros(0, np.int64), np.zeros(0), base)
-    words = chosen_words(positive, unlabelled, prior)
-
-    x_p, x_u = Indicators(positive, words), Indicators(unlabelled, words)
-    at, first, second = np.append(np.zeros(len(words)), base), 0.0, 0.0
-    for t in range(1, rounds + 1):
-        z_p, z_u = x_p.times(at), x_u.times(at)
-        bracket = np.logaddexp(0, z_u).mean() - prior * np.logaddexp(0, z_p).mean()
-        as_negative_p, as_negative_u = x_p.shared(sigmoid(z_p) / len(z_p)), x_u.shared(sigmoid(z_u) / len(z_u))
-        if bracket >= 0:
-            as_positive_p = x_p.shared(-sigmoid(-z_p) / len(z_p))
-            slope = prior * as_positive_p + as_negative_u - prior * as_negative_p
-        else:
-            slope = prior * as_negative_p - as_negative_u
-        slope = slope + shrink * np.append(at[:-1], 0)
-        first, second = 0.9 * first + 0.1 * slope, 0.999 * second + 0.001 * slope**2
-        at = at - rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
-    return Model(words, at[:-1], float(at[-1]))
+        return Model(np.zeros(0, np.int64), np.zeros(0), bias)
+    charge = CHARGE / np.sqrt(len(positive))
+    x_p, x_u, column = Rows(positive), Rows(unlabelled), np.full(1 << BITS, -1, np.int32)
+    chosen, weights = np.zeros(0, np.int64), np.zeros(0)
+    for _ in range(steps):
+        z_p, z_u = x_p.margins(weights, bias), x_u.margins(weights, bias)
+        s_p, s_u = slopes(z_p, z_u, prior, whole=True)
+        slope = np.zeros(1 << BITS)
+        x_p.all_slopes(s_p, slope)
+        x_u.all_slopes(s_u, slope)
+        wanted = np.flatnonzero((slope < -charge) & (column < 0))
+        stay = (weights > 0) | (slope[chosen] < -charge)
+        new = wanted[np.argsort(slope[wanted], kind="stable")[:most]]
+        chosen, weights = np.concatenate((chosen[stay], new)), np.concatenate((weights[stay], np.zeros(len(new))))
+        column[:] = -1
+        column[chosen] = np.arange(len(chosen))
+        for x in (x_p, x_u):
+            x.choose(column, len(chosen))
+        at, first, second = np.append(weights, bias), 0.0, 0.0
+        free = np.append(np.full(len(chosen), charge), 0.0)
+        for t in range(1, rounds + 1):
+            s_p, s_u = slopes(x_p.margins(at[:-1], at[-1]), x_u.margins(at[:-1], at[-1]), prior)
+            down = np.append(x_p.chosen_slopes(s_p) + x_u.chosen_slopes(s_u), s_p.sum() + s_u.sum())
+            first, second = 0.9 * first + 0.1 * down, 0.99 * second + 0.01 * down**2
+            step = rate * min(1.0, 2 / np.sqrt(t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-6)
+            at = at - step * (first / (1 - 0.9**t) + free)
+            at[:-1] = np.maximum(at[:-1], 0)
+        weights, bias = at[:-1], float(at[-1])
+    kept = np.flatnonzero(weights)
+    kept = kept[np.argsort(chosen[kept])]
+    return Model(chosen[kept], weights[kept], bias)
 
 
 def fit(
     docs: DataFrame, labels: DataFrame, usable=None, doc_id: str = "doc_id", text: str = "text",
     label_id: str = "doc_id", label: str = "toxic", prior: float | None = None,
-    most_positive: int = POSITIVE_ROWS, most_unlabelled: int = UNLABELLED_ROWS,
+    most_positive: int = POSITIVE_ROWS, most_unlabelled: int = UNLABELLED_ROWS, most_features: int = FEATURES,
 ) -> Model:
     """Fit on confirmed toxic rows, whose id satisfies `usable`, and on unlabelled documents.
 
-    Both are bounded and drawn by a hash of the id; unlabelled are any documents, whatever their labels.
-    `prior` is the share of toxic texts; if not given, their share of the usable labels. Null ids and labels
-    are left out; of contrary labels of an id the lower counts.
+    Both are bounded and drawn by a hash of the id; unlabelled are any documents, whatever their labels. Rows
+    are taken in that order until their features reach `most_features`. `prior` is the share of toxic texts; if
+    not given, their share of the usable labels. Null ids and labels are left out; of contrary labels of an id
+    the lower counts, and of different texts the least; repeated rows count once. Empty tables give a model
+    that scores every text with the prior.
     """
     known = labels_by_id(labels, label_id, label)
     known = known if usable is None else known.filter(usable(F.col("_lw_id")))
@@ -132,15 +162,23 @@ def fit(
         n, n1 = known.agg(F.count("*"), F.sum("_lw_label")).first()
         prior = (n1 + 1) / (n + 2) if n else 0.05
     prior = min(max(prior, 0.01), 0.5)
-    toxic = drawn(known.filter("_lw_label = 1").select("_lw_id"), "_lw_id", most_positive).withColumn("_lw_set", F.lit(1))
-    any_of = drawn(docs.select(docs[doc_id].alias("_lw_id")).filter("_lw_id is not null"), "_lw_id", most_unlabelled)
-    sample = toxic.unionByName(any_of.distinct().withColumn("_lw_set", F.lit(0)))
-    got = map_rows(with_texts(sample, docs, doc_id, text), "_lw_text", "x array<int>",
-                   lambda: lambda t: (word_ids(t),), ["_lw_id", "_lw_set"]).toArrow()
-    sets = got["_lw_set"].to_pylist()
-    rows = [x.values.to_numpy() for x in got["x"]]  # views of one buffer
-    order = sorted(range(len(rows)), key=lambda i: zlib.crc32(rows[i].tobytes()))
-    return train([rows[i] for i in order if sets[i] == 1], [rows[i] for i in order if sets[i] == 0], prior)
+    toxic = drawn(known.filter("_lw_label = 1").select("_lw_id"), "_lw_id", most_positive)
+    any_of = drawn(docs.select(docs[doc_id].alias("_lw_id")).filter("_lw_id is not null").distinct(), "_lw_id", most_unlabelled)
+    sets = toxic.withColumn("_lw_set", F.lit(1)).unionByName(any_of.withColumn("_lw_set", F.lit(2)))
+    sample = sets.groupBy("_lw_id").agg(F.sum("_lw_set").alias("_lw_set"))  # 3: of both
+    got = map_rows(with_texts(sample, docs, doc_id, text), "_lw_text", "x binary",
+                   lambda: lambda t: (features_of(t).tobytes(),), ["_lw_id", "_lw_set"])
+    positive, unlabelled, size = [], [], 0
+    for row in got.orderBy(F.xxhash64("_lw_id"), "_lw_id").toLocalIterator():
+        x = np.frombuffer(row["x"], np.int32)
+        size += len(x)
+        if size > most_features:
+            break
+        if row["_lw_set"] & 1:
+            positive.append(x)
+        if row["_lw_set"] & 2:
+            unlabelled.append(x)
+    return train(positive, unlabelled, prior)
 
 
 def score(
@@ -148,25 +186,27 @@ def score(
 ) -> DataFrame:
     """`keep` and a score from 0 to 1 for every whole text, higher for toxic; null counts as empty text.
 
-    The features are bounded by those of the sampled toxic texts. One row for each row of df, without a shuffle.
+    The model has as many weights as are not zero. One row for each row of df, repeated ones included, without
+    a shuffle; an empty table gives none.
     """
-    weights, bias = dict(zip(model.words.tolist(), model.weights.tolist(), strict=True)), model.bias
+    weights, bias = dict(zip(model.features.tolist(), model.weights.tolist(), strict=True)), model.bias
 
     def make() -> Callable[[bytes], tuple]:
-        memo: dict[bytes, frozenset[int]] = {}
-        none: frozenset[int] = frozenset()
+        memo = Memo()
 
-        def one(t: bytes) -> tuple:
-            found: set[int] = set()
+        def heavy(word: bytes) -> tuple[int, ...]:
+            return tuple(g for g in grams_of(word) if any(feature(g, t) in weights for t in TIMES))
+
+        def found(t: bytes) -> Iterator[int]:
+            seen: dict[int, int] = {}
             for w in set(words_of(t)):
-                f = memo.get(w)
-                if f is None:
-                    if len(memo) >= MEMO_WORDS:
-                        memo.clear()
-                    f = memo[w] = frozenset(features_of(w) & weights.keys()) or none
-                if f:
-                    found |= f
-            z = bias + sum(weights[f] for f in sorted(found))
+                for g in memo.get(w, heavy):
+                    n = seen[g] = seen.get(g, 0) + 1
+                    if n in TIMES:
+                        yield feature(g, n)
+
+        def one(t: bytes) -> tuple:
+            z = bias + sum(weights.get(f, 0.0) for f in sorted(set(found(t))))
             return (float(sigmoid(np.float64(z))),)
 
         return one

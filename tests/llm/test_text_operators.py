@@ -60,23 +60,47 @@ def test_bpe_query(spark, odd, none, library):
     assert [bytes(r.decoded) for r in byte_bpe.decode(some, queries.RANKS).collect()] == [(r.text or "").encode() for r in odd.limit(3).collect()]
 
 
-@pytest.mark.parametrize("block", [1 << 15, 3])
-def test_separator_scan(spark, odd, none, library, monkeypatch, block):
-    monkeypatch.setattr(token_scan, "BLOCK", block)
-    docs = odd.filter("doc_id is null or doc_id <> 5") if block == 3 else odd
-    rows = token_scan.token_counts(docs.repartition(3), queries.RANKS, public_tokenizers.PATTERN).collect()
-    want = [(r.doc_id, len(library.encode_ordinary(r.text or ""))) for r in docs.collect()]
+@pytest.mark.parametrize("size", [1 << 20, 4096])
+def test_separator_scan(spark, odd, none, library, monkeypatch, size):
+    monkeypatch.setattr(token_scan, "RANGE", size)
+    rows = token_scan.token_counts(odd.repartition(3), queries.RANKS, public_tokenizers.PATTERN).collect()
+    want = [(r.doc_id, len(library.encode_ordinary(r.text or ""))) for r in odd.collect()]
     assert sorted(((r.doc_id, r.n_tokens) for r in rows), key=repr) == sorted(want, key=repr)
     assert len({(r.file, r.ordinal) for r in rows}) == len(rows)
     assert token_scan.token_counts(none, queries.RANKS, public_tokenizers.PATTERN).count() == 0
 
 
-def test_separators_across_blocks(spark):
-    ids = [7, 8, 50256, 50256, 1, 2, 3, 4, 5, 6, 7, 50256, 9]
-    cut = [np.array(ids[i : i + 3], "<u4").tobytes() for i in range(0, len(ids), 3)]
-    blocks = spark.createDataFrame([(0, i, b) for i, b in enumerate(cut)] + [(1, 0, None), (1, 1, np.array([4, 50256], "<u4").tobytes())], "file int, block long, data binary")
-    got = [(r.file, r.ordinal, r.n_tokens) for r in token_scan.scan(blocks).orderBy("file", "ordinal").collect()]
-    assert got == [(0, 0, 2), (0, 1, 0), (0, 2, 7), (1, 0, 1)]
+@pytest.mark.parametrize(("kind", "ids"), [("<u2", 3), ("<u4", 2), ("<u4", 1), ("<u4", 100)])
+def test_separators_across_ranges(spark, tmp_path, kind, ids):
+    flat = token_scan.Flat(50256, kind)
+    files = {"a": [7, 8, 50256, 50256, 1, 2, 3, 4, 5, 6, 7, 50256, 9], "b": [4, 50256], "c": [], "d": [1, 2, 3], "e": [50256] * 5}
+    for name, held in files.items():
+        (tmp_path / name).write_bytes(np.array(held, kind).tobytes())
+    found = token_scan.scan(token_scan.files_in(spark, str(tmp_path)), str(tmp_path), flat, ids * np.dtype(kind).itemsize)
+    got = [(r.file, r.ordinal, r.n_tokens) for r in found.orderBy("file", "ordinal").collect()]
+    assert got == [("a", 0, 2), ("a", 1, 0), ("a", 2, 7), ("b", 0, 1), *[("e", i, 0) for i in range(5)]]
+
+
+def test_separator_is_behind_the_vocabulary(tmp_path):
+    ranks = tmp_path / "ranks"
+    ranks.write_bytes(b"YQ== 0\nYg== 70000\n")
+    assert token_scan.flat_of(str(ranks)) == token_scan.Flat(70001, "<u4")
+    assert token_scan.flat_of(queries.RANKS) == token_scan.Flat(50256, "<u2")
+
+
+def test_bytes_that_are_no_utf8(spark, library):
+    docs = spark.sql("select 1L as doc_id, cast(X'6162FF63' as string) as text union all select 2L, 'abc'")
+    want = {1: "ab\ufffdc", 2: "abc"}
+    for r in byte_bpe.encode(docs, queries.RANKS, public_tokenizers.PATTERN).collect():
+        assert list(r.ids) == library.encode_ordinary(want[r.doc_id]) and r.decoded_sha256 == sha(want[r.doc_id])
+    for r in token_scan.token_counts(docs, queries.RANKS, public_tokenizers.PATTERN).collect():
+        assert r.n_tokens == len(library.encode_ordinary(want[r.doc_id]))
+
+
+def test_unknown_ids_decode_to_null(spark):
+    rows = spark.sql("select 1 as doc_id, array(64, 99999999) as ids union all select 2, array(64, null) union all select 3, null union all select 4, array(64)")
+    got = {r.doc_id: r.decoded for r in byte_bpe.decode(rows, queries.RANKS).collect()}
+    assert got[1] is None and got[2] is None and bytes(got[3]) == b"" and len(got[4]) >= 1
 
 
 def plain_windows(docs, items, width=10):
