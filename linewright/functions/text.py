@@ -184,6 +184,15 @@ def signature_name(line: Column) -> Column:
     return F.regexp_extract(line, SIGNATURE, 3)
 
 
+def djb2(text: Column) -> Column:
+    """The unsigned 64-bit sum h * 33 + byte from 5381 on, as a decimal; 0 for empty text, null for null."""
+    body = F.encode(text, "utf-8")
+    byte = lambda i: F.conv(F.hex(F.substring(body, i, 1)), 16, 10).cast("int")
+    step = lambda h, i: F.pmod(h * 33 + byte(i), F.lit("18446744073709551616").cast("decimal(38,0)")).cast("decimal(30,0)")
+    summed = F.aggregate(F.sequence(F.lit(1), F.octet_length(text)), F.lit(5381).cast("decimal(30,0)"), step)
+    return F.when(text.isNotNull(), F.when(F.octet_length(text) == 0, F.lit(0)).otherwise(summed).cast("decimal(20,0)"))
+
+
 def change_key(file: Column, content: Column) -> Column:
     """Keys of a change: of file and content, and of the content alone."""
     return F.struct(F.xxhash64(file, content).alias("file_hash"), F.xxhash64(content).alias("content_hash"))

@@ -167,8 +167,15 @@ def structured_summary(docs: DataFrame, key: str = "doc_id", text: str = "text",
     return docs.select(key, F.substring(F.concat(head, body), 1, 600).alias("summary"))
 
 
+def basename(path: Column) -> Column:
+    return F.element_at(F.split(path.cast("string"), "/"), -1)
+
+
 def read_summary(docs: DataFrame, posts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, summary): lines and definitions, the first six with up to three other texts that hold their names, and risk."""
+    """(key, summary): lines and definitions, the first six with up to three other texts that hold their names, and risk.
+
+    Keys may be paths: texts are named by their last part, and those of the same name do not count as others.
+    """
     rows = explode_lines(docs, key, text)
     name = F.regexp_extract("line", T.SIGNATURE, 3)
     defs = rows.withColumn("name", name).filter("name <> ''")
@@ -178,13 +185,13 @@ def read_summary(docs: DataFrame, posts: DataFrame, key: str = "doc_id", text: s
     held = posts.join(shown.select("phrase").distinct(), "phrase", "left_semi").select("phrase", F.col(key).alias("other")).withColumn(
         "k", F.row_number().over(Window.partitionBy("phrase").orderBy("other"))).filter("k <= 4")
     callers = shown.join(held, "phrase", "left").groupBy(key, "rank", "line_no", "line").agg(
-        F.slice(F.array_sort(F.collect_list(F.when(F.col("other") != F.col(key), F.col("other")))), 1, 3).alias("c"))
-    note = F.when(F.size("c") > 0, F.concat(F.lit(" c: ["), F.array_join(F.transform("c", lambda x: x.cast("string")), ", "), F.lit("]"))).otherwise("")
+        F.slice(F.array_sort(F.collect_list(F.when(basename(F.col("other")) != basename(F.col(key)), F.col("other")))), 1, 3).alias("c"))
+    note = F.when(F.size("c") > 0, F.concat(F.lit(" c: ["), F.array_join(F.transform("c", basename), ", "), F.lit("]"))).otherwise("")
     line = F.concat(F.lit("\n  L"), (F.col("line_no") + 1).cast("string"), F.lit(": "), T.trim(F.col("line")), note)
     body = callers.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("s")))), lambda x: x["s"]), "").alias("body"))
     counts = ranked.groupBy(key).agg(F.count("*").alias("defs"))
     risk = file_risk(docs, key, text).select(key, "risk", "reason")
     all_ = docs.select(key, F.size(T.lines(F.col(text))).alias("n")).join(counts, key, "left").join(body, key, "left").join(risk, key)
     tail = F.when(F.col("risk") != "low", F.concat(F.lit("\n[risk: "), F.initcap("risk"), F.lit("] "), F.substring("reason", 1, 80))).otherwise("")
-    head = F.concat(F.lit("["), F.col(key).cast("string"), F.lit("] "), F.col("n").cast("string"), F.lit("L | "), F.coalesce("defs", F.lit(0)).cast("string"), F.lit(" defs"))
+    head = F.concat(F.lit("["), basename(F.col(key)), F.lit("] "), F.col("n").cast("string"), F.lit("L | "), F.coalesce("defs", F.lit(0)).cast("string"), F.lit(" defs"))
     return all_.select(key, F.concat(head, F.coalesce("body", F.lit("")), tail).alias("summary"))

@@ -22,6 +22,7 @@ PHRASES = (
     r"\b(Alright|Okay|So,?|Well,?|Now,?)\s*",
     r"\bessentially|basically|simply|actually|obviously|clearly|currently\b",
 )
+# Fixed value: how a definition begins.
 SIGNATURE = r"^\s*(?:pub\s+)?(?:fn|def|class|fun|function)\s+(\w+)"
 
 
@@ -141,6 +142,11 @@ def hoist_invariants(text: Column) -> Column:
     return F.when(fits, F.when(F.octet_length(made) < F.octet_length(text), made))
 
 
+def load_dictionary(symbols: DataFrame, most: int = 200) -> DataFrame:
+    """The `most` commonest symbols of build_dictionary, ties by name: what a session takes along."""
+    return symbols.orderBy(F.desc("frequency"), "symbol").limit(most)
+
+
 def _after(line: Column, word: Column, most: int) -> Column:
     """What follows a word up to a full stop or semicolon, or `most` characters of it."""
     rest = F.substring(line, F.instr(line, word) + F.length(word), F.length(line))

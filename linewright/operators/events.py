@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linewright.functions import text as T
+from linewright.operators.folds import ordered_fold
 
 # Names that count as having failed once.
 WEAK_NAMES = ("unwrap", "legacy", "hack", "todo", "TODO", "FIXME", "debug_", "temp", "old_text", "clone")
@@ -112,23 +113,69 @@ def feedback(rows: DataFrame, key: str, order: tuple[str, ...], hit: str = "hit"
 
 
 def admitted(rows: DataFrame, key: str, order: tuple[str, ...], time: str, limit: int, seconds: int) -> DataFrame:
-    """rows with `allowed`: up to `limit` of a key in a window of seconds that begins with its first event.
+    """(key, order, allowed): up to `limit` of a key in a window of seconds that begins with its first event.
 
-    The next window begins with the first event more than `seconds` after that. Windows depend on each other,
-    so a key's times are folded in order: one array of times a key.
+    The next window begins with the first event more than `seconds` after that, so a key's events are folded in
+    order of time.
     """
-    times = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.unix_micros(time).alias("t"), *order))).alias("ts"))
     span = seconds * 1_000_000
-    start = F.struct(F.lit(None).cast("long").alias("begin"), F.lit(0).alias("n"), F.array().cast("array<boolean>").alias("ok"))
 
-    def step(a: Column, x: Column) -> Column:
-        fresh = a["begin"].isNull() | (x["t"] - a["begin"] > span)
-        begin, n = F.when(fresh, x["t"]).otherwise(a["begin"]), F.when(fresh, 0).otherwise(a["n"])
-        return F.struct(begin.alias("begin"), F.when(n < limit, n + 1).otherwise(n).alias("n"), F.concat(a["ok"], F.array(n < limit)).alias("ok"))
+    def step(state: tuple, t: int) -> tuple:
+        begin, n = state
+        if begin is None or t - begin > span:
+            begin, n = t, 0
+        return (begin, n + (n < limit)), (n < limit,)
 
-    folded = times.select(key, F.arrays_zip("ts", F.aggregate("ts", start, step, lambda a: a["ok"]).alias("ok")).alias("z"))
-    flat = folded.select(key, F.explode("z").alias("z")).select(key, *[F.col(f"z.ts.{o}").alias(o) for o in order], F.col("z.ok").alias("allowed"))
-    return rows.join(flat, [key, *order])
+    timed = rows.withColumn("_lw_us", F.unix_micros(time))
+    return ordered_fold(timed, key, ("_lw_us", *order), ("_lw_us",), "allowed boolean", lambda: (None, 0), step).drop("_lw_us")
+
+
+def safety_states(log: DataFrame, key: str = "session", order: str = "seq", spiral: int = 3, turns: int = 10, redirects: int = 5) -> DataFrame:
+    """(key, order, level, redirected) of a session's log (key, order, turn, kind, path).
+
+    A read of a path for the `spiral`-th time since it was edited raises the level to 2 for some turns; then it is
+    0 again. At level 2 a command is redirected, but the `redirects`-th such command of a session, and each later
+    one, is let through and lowers the level to 1.
+    """
+
+    def step(state: tuple, turn: int, kind: str, path: str) -> tuple:
+        level, until, seen, sent = state
+        if level and until <= turn:
+            level = 0
+        redirected = False
+        if kind == "edit":
+            seen = {p: n for p, n in seen.items() if p != path}
+        elif kind == "read":
+            seen = seen | {path: seen.get(path, 0) + 1}
+            if seen[path] >= spiral and level < 2:
+                level, until = 2, turn + turns
+        elif kind == "command" and level >= 2:
+            sent += 1
+            level, redirected = (1, False) if sent >= redirects else (level, True)
+        return (level, until, seen, sent), (level, redirected)
+
+    folded = ordered_fold(log, key, (order,), ("turn", "kind", "path"), "level int, redirected boolean", lambda: (0, 0, {}, 0), step)
+    return folded.select(key, order, "level", "redirected")
+
+
+def cached(rows: DataFrame, keys: tuple[str, ...], now: Column, seconds: int, cap: int, order: str = "ts", tie: str = "event_id") -> DataFrame:
+    """What a cache holds that keeps the newest row of a key for some seconds, and the newest `cap` of them."""
+    alive = rows.filter(F.col(order) >= now - F.expr(f"interval {seconds} seconds"))
+    return newest(latest(alive, keys, order, tie), cap, order, tie)
+
+
+def maintenance_delays(runs_: DataFrame, key: str, order: str, took: str, pause: int = 120, slow: int = 60, longest: int = 1800) -> DataFrame:
+    """runs with `delay`, the seconds until the next: doubled after each run over `slow` seconds, up to `longest`, else `pause`."""
+    w = Window.partitionBy(key).orderBy(order)
+    good = F.sum((F.col(took) <= slow).cast("int")).over(w)
+    streak = F.sum((F.col(took) > slow).cast("int")).over(Window.partitionBy(key, "_lw_good").orderBy(order))
+    delay = F.least(F.lit(longest), F.lit(pause) * F.pow(2.0, F.least("_lw_streak", F.lit(16))))
+    return runs_.withColumn("_lw_good", good).withColumn("_lw_streak", streak).withColumn("delay", delay.cast("int")).drop("_lw_good", "_lw_streak")
+
+
+def status_counts(files: DataFrame, log: DataFrame) -> DataFrame:
+    """One row: files of the index, and events of the log."""
+    return files.agg(F.count("*").alias("files")).crossJoin(F.broadcast(log.agg(F.count("*").alias("events"))))
 
 
 def safety_levels(reads: DataFrame, key: str, order: str = "seq", spiral: int = 3) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from linewright.functions import classify as C
 from linewright.functions import text as T
+from linewright.operators.folds import ordered_fold
 
 # Words that begin lines of progress.
 PROGRESS_WORDS = ("Compiling", "Checking", "Building", "Linking", "Running")
@@ -201,17 +202,30 @@ def function_ends(rows: DataFrame, starts: DataFrame, key: str) -> DataFrame:
     """(key, start, end): the last line of the function whose body begins at line `start`, by indentation.
 
     `starts` has (key, start, indent). The body ends before the first line from `start` on that is not blank,
-    no comment and indented no more than `indent`; blank and comment lines before it are not the body's.
+    no comment and indented no more than `indent`; blank and comment lines before it are not the body's. Starts
+    behind a text's last line have no row. Lines and starts are folded from the last line to the first, beside
+    a stack of the nearest lines of each lesser indentation.
     """
     t = T.trim(F.col("line"))
     skipped = (t == "") | t.startswith("#") | t.startswith("//")
-    marked = rows.select(key, "line_no", skipped.alias("skip"), (F.octet_length("line") - F.octet_length(F.regexp_replace("line", r"(?U)^\s+", ""))).alias("deep"))
+    deep = F.octet_length("line") - F.octet_length(F.regexp_replace("line", r"(?U)^\s+", ""))
+    full = F.max(F.when(~F.col("skip"), F.col("line_no"))).over(by(key).rowsBetween(Window.unboundedPreceding, -1))
+    marked = rows.select(key, "line_no", skipped.alias("skip"), deep.cast("int").alias("deep")).withColumn("before", full)
     total = rows.groupBy(key).agg(F.max("line_no").alias("_lw_last"))
-    pairs = starts.join(marked, key).filter(F.col("line_no") >= F.col("start"))
-    stop = pairs.groupBy(key, "start", "indent").agg(F.min(F.when(~F.col("skip") & (F.col("deep") <= F.col("indent")), F.col("line_no"))).alias("stop"))
-    body = pairs.join(stop, [key, "start", "indent"]).filter(F.col("line_no") < F.col("stop")).groupBy(key, "start", "indent").agg(
-        F.max(F.when(~F.col("skip"), F.col("line_no"))).alias("last"), F.count("*").alias("n"))
-    ends = stop.join(body, [key, "start", "indent"], "left").join(total, key)
+    number = lambda c: F.col(c).cast("long")
+    both = marked.select(key, (-number("line_no")).alias("at"), F.lit(0).alias("kind"), number("deep").alias("deep"), "skip", number("before").alias("before")).unionByName(
+        starts.select(key, (-number("start")).alias("at"), F.lit(1).alias("kind"), number("indent").alias("deep"), F.lit(False).alias("skip"), F.lit(None).cast("long").alias("before")))
+
+    def step(stack: tuple, at: int, kind: int, deep: int, skip: bool, before: int | None) -> tuple:
+        if kind == 1:
+            _, stop, last = next((x for x in reversed(stack) if x[0] <= deep), (None, None, None))
+            return stack, (stop, last)
+        if skip:
+            return stack, (None, None)
+        return (*(x for x in stack if x[0] < deep), (deep, -at, before)), (None, None)
+
+    folded = ordered_fold(both, key, ("at", "kind"), ("at", "kind", "deep", "skip", "before"), "stop long, last long", tuple, step)
+    ends = folded.filter("kind = 1").select(key, (-F.col("at")).alias("start"), "stop", "last").join(total, key).filter(F.col("start") <= F.col("_lw_last"))
     # nothing but skipped lines before the stop: the line before it
-    found = F.when(F.col("stop").isNull(), F.col("_lw_last")).when(F.col("last").isNotNull(), F.col("last")).otherwise(F.greatest(F.col("stop") - 1, F.lit(0)))
-    return ends.select(key, "start", found.alias("end"))
+    found = F.when(F.col("stop").isNull(), F.col("_lw_last")).when(F.col("last") >= F.col("start"), F.col("last")).otherwise(F.greatest(F.col("stop") - 1, F.lit(0)))
+    return ends.select(key, F.col("start").cast("int").alias("start"), found.cast("int").alias("end"))

@@ -61,6 +61,11 @@ def edits(found: DataFrame, session: str = "session", seq: str = "seq") -> DataF
                        F.substring(old, 1, 40).alias("old_snippet"), F.substring(new, 1, 40).alias("new_snippet"))
 
 
+def edited_files(found: DataFrame, session: str = "session", seq: str = "seq") -> DataFrame:
+    """(session, files): the files that a session edited, each once, sorted."""
+    return edits(found, session, seq).groupBy(session).agg(F.array_sort(F.collect_set("file")).alias("files"))
+
+
 def states(lines: DataFrame, session: str = "session", seq: str = "seq", value: str = "value") -> DataFrame:
     """(session, turns, reads, edits, tests, errors, last_output, last_pass): a session's facts as arrays in order.
 

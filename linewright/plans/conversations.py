@@ -96,7 +96,18 @@ def history_saved(spark, sf_dir):
 OPENERS = ("Let me check this first. ", "Based on the text. So, ", "Now I can see it, basically. ")
 
 
-@query("reasoning_phrases")
+def phrases_sql(x):
+    """SQL that removes the phrases one after the other, then runs of white space."""
+    for p in compress.PHRASES:
+        x = f"regexp_replace({x}, '(?i){p.replace(chr(39), chr(39) * 2)}', ' ', 'g')"
+    return f"array_to_string({sql.words(x)}, ' ')"
+
+
+@query("reasoning_phrases", f"""
+with r as (select conv_id, turn, repeat(case turn % 3 when 0 then '{OPENERS[0]}' when 1 then '{OPENERS[1]}' else '{OPENERS[2]}' end, 8) || 'That is ' || text as text from conversations where role = 'assistant'),
+k as (select conv_id, turn, text, {phrases_sql('text')} as kept from r)
+select conv_id, turn, kept, case when strlen(text) >= 200 and not ({' or '.join(f"contains(text, '{m}')" for m in compress.CODE_MARKS)}) and strlen(kept) < strlen(text) * 0.6 then kept end as text from k
+""")
 def reasoning_phrases(spark, sf_dir):
     """Whole replies behind a phrase to be removed, eight times over; null where the rule keeps a reply."""
     rows = talk(spark, sf_dir).filter("role = 'assistant'")
@@ -113,6 +124,11 @@ def reply_compress(spark, sf_dir):
     return compress.compress_reply(rows.select("conv_id", "turn", fenced.alias("text")), ("conv_id", "turn"))
 
 
+@query("dictionary_load", f"select token as symbol, count(*) as frequency from (select unnest({sql.identifiers('text')}) as token from conversations) group by all having count(*) > 1 order by frequency desc, symbol limit 200")
+def dictionary_load(spark, sf_dir):
+    return compress.load_dictionary(symbol_dictionary(spark, sf_dir))
+
+
 @query("symbol_dictionary", f"select token as symbol, count(*) as frequency from (select unnest({sql.identifiers('text')}) as token from conversations) group by all having count(*) > 1")
 def symbol_dictionary(spark, sf_dir):
     return compress.build_dictionary(talk(spark, sf_dir).select(F.explode(T.identifiers(F.col("text"))).alias("symbol")))
@@ -154,7 +170,11 @@ def json_invariants(spark, sf_dir):
     return nation_json(spark, sf_dir).select("n_regionkey", compress.hoist_invariants(F.col("text")).alias("text"))
 
 
-@query("json_minify")
+@query("json_minify", """
+with n as (select n_regionkey, '[' || string_agg('{"kind":"nation","name":"' || n_name || '","nationkey":' || n_nationkey || ',"note":"' || repeat('x', 30) || '","regionkey":' || n_regionkey || '}', ',' order by n_name) || ']' as text from nation group by all),
+s as (select n_regionkey, text, regexp_replace(text, '([,:])"', '\\1  "', 'g') as spaced from n)
+select n_regionkey, case when strlen(spaced) > 500 and strlen(text) < strlen(spaced) then text else spaced end as text from s
+""")
 def json_minify(spark, sf_dir):
     spaced = F.regexp_replace(F.col("text"), r'([,:])"', '$1  "')
     return nation_json(spark, sf_dir).select("n_regionkey", compress.minify_json(spaced).alias("text"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from linewright.functions import text as T
@@ -207,18 +208,23 @@ def first_sources(spark, sf_dir):
     return table(spark, sf_dir, "nation").select("n_nationkey", chosen.alias("c")).select("n_nationkey", "c.value", "c.source")
 
 
-TOKENS = f"""t as (select item_id, unnest(range(len(ws))) as i, unnest(ws) as a from (select item_id, list_transform(list_filter({sql.pieces('text')}, lambda w: strlen(w) >= 3 and regexp_matches(w, '\\p{{L}}')), lambda w: lower(w)) as ws from benchmark)),
-pairs as (select x.a, y.a as b, count(*) as n from t x join t y on x.item_id = y.item_id and y.i > x.i and y.i <= x.i + 4 group by all)"""
+TOKENS = f"""t as (select doc_id, unnest(range(len(ws))) as i, unnest(ws) as a from (select doc_id, list_transform(list_filter({sql.pieces('text')}, lambda w: strlen(w) >= 3 and regexp_matches(w, '\\p{{L}}')), lambda w: lower(w)) as ws from documents)),
+l as (select a, unnest([lead(a, 1) over w, lead(a, 2) over w, lead(a, 3) over w, lead(a, 4) over w]) as b from t window w as (partition by doc_id order by i)),
+pairs as (select a, b, count(*) as n from l where b is not null group by all)"""
+
+
+def token_pairs(spark, sf_dir):
+    return memory.cooccurrence(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 @query("cooccurrence", f"with {TOKENS} select * from pairs")
 def cooccurrence(spark, sf_dir):
-    return memory.cooccurrence(table(spark, sf_dir, "benchmark"), "item_id", "text")
+    return token_pairs(spark, sf_dir)
 
 
 @query("predict_tokens", f"with {TOKENS}, q as (select unnest(['the', 'and', 'tion']) as q), u as (select b as token, n from pairs join q on a = q union all select a, n from pairs join q on b = q) select token, cast(sum(n) as bigint) as n from u group by token order by n desc, token limit 10")
 def predict_tokens(spark, sf_dir):
-    return memory.predict(memory.cooccurrence(table(spark, sf_dir, "benchmark"), "item_id", "text"), "the and tion", 10)
+    return memory.predict(token_pairs(spark, sf_dir), "the and tion", 10)
 
 
 @query("cosine_topk", "select e.vec_id, round(list_cosine_similarity(cast(e.embedding as double[]), cast(q.embedding as double[])), 6) as score from embeddings e, (select embedding from embeddings where vec_id = 0) q order by score desc, e.vec_id limit 10")
@@ -228,12 +234,9 @@ def cosine_topk(spark, sf_dir):
     return memory.nearest(vectors, F.array(*[F.lit(float(x)) for x in asked]), 10)
 
 
-@query("bundled_vectors", "select label, i, cast(sum(sign(x)) as integer) as total, cast(sign(sum(sign(x))) as integer) as clamped from (select label, unnest(range(4)) as i, unnest(embedding[1:4]) as x from embeddings) group by all")
+@query("bundled_vectors", "select label, i, cast(sum(sign(x)) as bigint) as total, cast(sign(sum(sign(x))) as integer) as clamped from (select label, cast(unnest(range(len(embedding))) as integer) as i, unnest(embedding) as x from embeddings) group by all")
 def bundled_vectors(spark, sf_dir):
-    vectors = table(spark, sf_dir, "embeddings").select("label", memory.clamp(F.slice("embedding", 1, 4)).alias("v"))
-    summed = vectors.groupBy("label").agg(F.aggregate(F.collect_list("v"), F.array(*[F.lit(0)] * 4), memory.bundle).alias("s"))
-    rows = summed.select("label", F.posexplode("s").alias("i", "total"))
-    return rows.select("label", F.col("i").cast("long").alias("i"), "total", F.signum("total").cast("int").alias("clamped"))
+    return memory.bundled(table(spark, sf_dir, "embeddings").select("label", memory.clamp(F.col("embedding")).alias("v")), "label", "v")
 
 
 @query("consolidated_tiers", f"""
@@ -247,12 +250,66 @@ def consolidated_tiers(spark, sf_dir):
 
 @query("recalled_memories")
 def recalled_memories(spark, sf_dir):
-    return memory.recall(table(spark, sf_dir, "benchmark"), "the tion and", 5)
+    return memory.recall(table(spark, sf_dir, "documents"), "the tion and", 5, "doc_id")
 
 
 @query("pulled_vectors")
 def pulled_vectors(spark, sf_dir):
-    return memory.hebbian(memory.cooccurrence(table(spark, sf_dir, "benchmark"), "item_id", "text"), 16)
+    """Event types pull user names, in order of the events."""
+    each = events(spark, sf_dir).select(F.col("event_type").alias("a"), F.concat(F.lit("user"), (F.col("user_id") % 50).cast("string")).alias("b"), "event_id")
+    back = each.select(F.col("b").alias("a"), F.col("a").alias("b"), (F.col("event_id") * 2 + 1).alias("seq"))
+    return memory.hebbian(each.select("a", "b", (F.col("event_id") * 2).alias("seq")).unionByName(back))
+
+
+@query("ttl_cache", f"""
+with k as (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as r from events where ts >= {NOW} - interval 86400 seconds)
+select user_id, event_id from k where r = 1 order by ts desc, event_id desc limit 100
+""")
+def ttl_cache(spark, sf_dir):
+    return E.cached(events(spark, sf_dir), ("user_id",), now(spark, sf_dir), 86400, 100).select("user_id", "event_id")
+
+
+@query("maintenance_delays", """
+with r as (select event_id, user_id, cast(event_id % 90 as integer) as took from events),
+g as (select *, sum(case when took <= 60 then 1 else 0 end) over (partition by user_id order by event_id) as good from r),
+s as (select *, sum(case when took > 60 then 1 else 0 end) over (partition by user_id, good order by event_id) as streak from g)
+select event_id, cast(least(1800, 120 * power(2, least(streak, 16))) as integer) as delay from s
+""")
+def maintenance_delays(spark, sf_dir):
+    rows = events(spark, sf_dir).select("event_id", "user_id", (F.col("event_id") % 90).cast("int").alias("took"))
+    return E.maintenance_delays(rows, "user_id", "event_id", "took").select("event_id", "delay")
+
+
+@query("status_counts", "select (select count(*) from documents) as files, (select count(*) from events) as events")
+def status_counts(spark, sf_dir):
+    return E.status_counts(table(spark, sf_dir, "documents"), events(spark, sf_dir))
+
+
+@query("safety_states")
+def safety_states(spark, sf_dir):
+    """Users' sessions: clicks edit, errors are commands, anything else reads one of three paths."""
+    return E.safety_states(safety_log(spark, sf_dir))
+
+
+def safety_log(spark, sf_dir):
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    kind = F.when(F.col("event_type") == "click", "edit").when(F.col("event_type") == "error", "command").otherwise("read")
+    return events(spark, sf_dir).select(F.col("user_id").alias("session"), F.col("event_id").alias("seq"), F.floor(F.row_number().over(w) / 3).cast("int").alias("turn"),
+                                        kind.alias("kind"), F.concat(F.lit("p"), (F.col("event_id") % 3).cast("string")).alias("path"))
+
+
+@query("cache_keys", """select event_id, sha256('{"p0":"' || event_type || '","p1":"' || user_id || '","p2":' || case when event_id % 2 = 0 then 'null' else '"x"' end || '}') as key from events""")
+def cache_keys(spark, sf_dir):
+    return events(spark, sf_dir).select("event_id", T.cache_key(F.col("event_type"), F.col("user_id"), F.when(F.col("event_id") % 2 == 1, "x")).alias("key"))
+
+
+@query("djb2_hashes", """
+select doc_id, cast(list_reduce(list_prepend(5381::hugeint, list_transform(string_split(lang || '-' || source, ''), lambda c: unicode(c)::hugeint)), lambda h, b: (h * 33 + b) % 18446744073709551616) as varchar) as hash
+from documents where lang is not null and source is not null
+""")
+def djb2_hashes(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").filter("lang is not null and source is not null")
+    return rows.select("doc_id", T.djb2(F.concat_ws("-", "lang", "source")).cast("string").alias("hash"))
 
 
 @query("duration_seconds", "select event_id, case when event_id % 2 = 0 then (event_id % 9 + 1) * 3600 else (event_id % 9 + 1) * 60 end as seconds from events")

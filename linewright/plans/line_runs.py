@@ -132,12 +132,17 @@ def compress_output(spark, sf_dir):
 
 @query("function_ends", L + """
 , d as (select doc_id, line_no, t = '' or starts_with(t, '#') or starts_with(t, '//') as skip, strlen(line) - strlen(regexp_replace(line, '^[\\s\\x0B]+', '')) as deep from t),
-s as (select doc_id, line_no as start, -1 as indent from t where line_no in (1, 3)),
-x as (select s.doc_id, s.start, min(case when not d.skip and d.deep <= s.indent then d.line_no end) as stop from s join d on d.doc_id = s.doc_id and d.line_no >= s.start group by all),
-m as (select doc_id, max(line_no) as last from d group by all)
-select doc_id, start, coalesce(stop - 1, last) as "end" from x join m using (doc_id)
+s as (select doc_id, cast(line_no + 1 as integer) as start, cast(line_no % 7 as integer) as indent from t where regexp_matches(t, '^[A-Z]')),
+e as (select * replace (case when skip then 99 else strlen(line_) % 11 end as deep) from (select d.*, t.line as line_ from d join t using (doc_id, line_no))),
+x as (select s.doc_id, s.start, s.indent, (select min(e.line_no) from e where e.doc_id = s.doc_id and e.line_no >= s.start and not e.skip and e.deep <= s.indent) as stop from s),
+m as (select doc_id, max(line_no) as last from t group by all),
+b as (select x.doc_id, x.start, m.last, x.stop, (select max(e.line_no) from e where e.doc_id = x.doc_id and e.line_no >= x.start and e.line_no < x.stop and not e.skip) as body from x join m using (doc_id) where x.start <= m.last)
+select doc_id, start, cast(case when stop is null then last when body is not null then body else greatest(stop - 1, 0) end as integer) as "end" from b
 """)
 def function_ends(spark, sf_dir):
+    """Prose has no indentation: lines are indented by their bytes, and every line with a capital is a start of some indent."""
     rows = line_rows(spark, sf_dir)
-    starts = rows.filter("line_no in (1, 3)").select("doc_id", F.col("line_no").alias("start"), F.lit(-1).alias("indent"))
-    return runs.function_ends(rows, starts, "doc_id")
+    trimmed = runs.T.trim(F.col("line"))
+    starts = rows.filter(trimmed.rlike("^[A-Z]")).select("doc_id", (F.col("line_no") + 1).alias("start"), (F.col("line_no") % 7).cast("int").alias("indent"))
+    indented = rows.withColumn("line", F.concat(F.repeat(F.lit(" "), (F.octet_length("line") % 11).cast("int")), trimmed))
+    return runs.function_ends(indented, starts, "doc_id")

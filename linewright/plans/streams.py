@@ -10,7 +10,7 @@ from linewright.operators import index, session
 from linewright.plans.history import ORACLES
 from linewright.plans.indexing import INDEX
 from linewright.plans.registry import query
-from linewright.sources.tables import table
+from linewright.sources.tables import shared_folder, table
 from linewright.streaming import stateful as S
 
 
@@ -50,12 +50,24 @@ def chunks(spark, sf_dir):
     return rows.select(F.col("user_id").alias("stream"), F.col("event_id").alias("seq"), text.alias("chunk"), (F.col("event_type") == "purchase").alias("last"))
 
 
-@query("finished_streams")
+CHUNKS = "c as (select user_id as stream, event_id as seq, case when event_id % 2 = 0 then 'x \"finish_rea' else 'son\":\"stop\" y' end as chunk, event_type = 'purchase' as last from events)"
+
+
+@query("finished_streams", f"""
+with {CHUNKS}, t as (select stream, string_agg(chunk, '' order by seq) as body, bool_or(last) as ended from c group by stream)
+select stream, contains(body, '\"finish_reason\":\"stop\"') as finished, case when not finished then '{S.TERMINATOR}' end as terminator from t where ended
+""")
 def finished_streams(spark, sf_dir):
     return S.run(S.finished_streams(chunks(spark, sf_dir)))
 
 
-@query("flushed_chunks")
+@query("flushed_chunks", f"""
+with recursive {CHUNKS}, o as (select stream, strlen(chunk) as b, last, row_number() over (partition by stream order by seq) as k from c),
+f as (select stream, k, 1 as n, b as size, b >= 64 or last as out from o where k = 1 union all
+ select o.stream, o.k, case when f.out then 1 else f.n + 1 end, case when f.out then 0 else f.size end + o.b, case when f.out then 0 else f.size end + o.b >= 64 or o.last
+ from f join o on o.stream = f.stream and o.k = f.k + 1)
+select stream, cast(n as integer) as n, cast(size as bigint) as bytes from f where out
+""")
 def flushed_chunks(spark, sf_dir):
     return S.run(S.flushed(chunks(spark, sf_dir), least=64))
 
@@ -67,18 +79,30 @@ select stream, arg_max(p, seq) as prompt_tokens, arg_max(k, seq) as completion_t
 def stream_usage(spark, sf_dir):
     s = lambda c: c.cast("string")
     text = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('{"usage":{"prompt_tokens": '), s(F.col("event_id") * 2), F.lit(',"completion_tokens":'), s(F.col("event_id") % 7), F.lit("}}"))).otherwise("data")
-    return S.stream_usage(table(spark, sf_dir, "events").select(F.col("user_id").alias("stream"), F.col("event_id").alias("seq"), text.alias("chunk")))
+    return S.run(S.stream_usage(events(spark, sf_dir).select(F.col("user_id").alias("stream"), F.col("event_id").alias("seq"), text.alias("chunk"))), "complete")
 
 
 @query("maintained_index", INDEX + "select doc_id, phrase, occ from post")
 def maintained_index(spark, sf_dir):
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/linewright").rstrip("/") + f"/index-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
     return S.maintain_index(S.stream_table(spark, sf_dir, "documents").select("doc_id", "text"), folder, index.postings).select("doc_id", "phrase", "occ")
 
 
 @query("session_blocks")
 def session_blocks(spark, sf_dir):
     """Sessions made of conversations: user turns, and a read or an edit for each reply."""
+    return session.state_block(session.states(session_lines(spark, sf_dir)))
+
+
+@query("edited_files", """
+select conv_id as session, 'src/a.rs' as files from conversations where role = 'assistant' and turn % 4 <> 1 group by conv_id
+""")
+def edited_files(spark, sf_dir):
+    found = session.edited_files(session.results(session.parsed(session_lines(spark, sf_dir))))
+    return found.select("session", F.array_join("files", ",").alias("files"))
+
+
+def session_lines(spark, sf_dir):
     talk = table(spark, sf_dir, "conversations")
     k = F.col("turn").cast("string")
     call = F.to_json(F.struct(F.lit("message").alias("type"), F.struct(F.lit("assistant").alias("role"), F.array(F.struct(
@@ -88,5 +112,4 @@ def session_blocks(spark, sf_dir):
                                                                          F.array(F.struct(F.lit("text").alias("type"), F.col("text"))).alias("content")).alias("message")))
     user = F.to_json(F.struct(F.lit("message").alias("type"), F.struct(F.lit("user").alias("role")).alias("message")))
     each = F.when(F.col("role") == "assistant", F.array(call, answer)).otherwise(F.array(user))
-    lines = talk.select(F.col("conv_id").alias("session"), "turn", F.posexplode(each).alias("i", "value")).select("session", (F.col("turn") * 2 + F.col("i")).alias("seq"), "value")
-    return session.state_block(session.states(lines))
+    return talk.select(F.col("conv_id").alias("session"), "turn", F.posexplode(each).alias("i", "value")).select("session", (F.col("turn") * 2 + F.col("i")).alias("seq"), "value")

@@ -7,6 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from linewright.sources.tables import kept
+
 # Endings of files that are indexed, those that are searched for dead names, and folders passed over.
 INDEXED = ("rs", "py", "js", "ts", "tsx", "jsx", "go", "rb", "c", "cpp", "h", "hpp", "sh", "toml", "yaml", "yml", "json", "md")
 SEARCHED = ("rs", "py", "js", "ts", "go", "java", "rb", "c", "cpp", "h", "hpp", "sh", "toml", "yaml", "yml", "json", "md")
@@ -36,10 +38,47 @@ def read_folder(spark: SparkSession, folder: str, endings: Iterable[str] = INDEX
     return files.select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("size"), text.alias("text")).filter("text is not null")
 
 
+LOG_SCHEMA = "event string, auth_prefix string, prompt_tokens long, completion_tokens long, savings_pct double, history_saved long, response_compressed boolean, timestamp long"
+
+
+def log_events(lines: DataFrame) -> DataFrame:
+    """Events of lines (value) of a proxy log, one JSON object a line; lines that are none are left out."""
+    return lines.select(F.from_json("value", LOG_SCHEMA).alias("e")).select("e.*").filter(F.col("event").isin("stream_usage", "proxy_response"))
+
+
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """Events of a proxy log, one JSON object a line; lines that are none are left out."""
-    schema = "event string, auth_prefix string, prompt_tokens long, completion_tokens long, savings_pct double, history_saved long, response_compressed boolean, timestamp long"
-    return spark.read.text(path).select(F.from_json("value", schema).alias("e")).select("e.*").filter(F.col("event").isin("stream_usage", "proxy_response"))
+    return log_events(spark.read.text(path))
+
+
+def tail_log(spark: SparkSession, folder: str) -> DataFrame:
+    """The events of a folder's log files as a stream: what is there, and files as they come."""
+    return log_events(spark.readStream.text(folder))
+
+
+def _first_rows(rows: DataFrame, most: int) -> DataFrame:
+    """The first rows in order of their files."""
+    return rows.withColumn("_lw_at", F.monotonically_increasing_id()).orderBy("_lw_at").limit(most).drop("_lw_at")
+
+
+def read_questions(spark: SparkSession, path: str, most: int = 100) -> DataFrame:
+    """(context, question, expected, unanswerable) of a question set in JSON lines with `answers.text`: half with answers, half without."""
+    rows = spark.read.schema("context string, question string, answers struct<text: array<string>>").json(path)
+    answer = F.get("answers.text", F.lit(0))
+    made = rows.select("context", "question", answer.alias("expected"), (F.coalesce(F.size("answers.text"), F.lit(0)) <= 0).alias("unanswerable"))
+    return _first_rows(made.filter("not unanswerable"), most // 2).unionByName(_first_rows(made.filter("unanswerable"), most - most // 2))
+
+
+def read_calls(spark: SparkSession, path: str, most: int = 100) -> DataFrame:
+    """(query, tools, expected) of a set of tool calls in JSON lines: the first human turn, and the calls of the first reply.
+
+    Turns are (from, value), calls JSON objects between tags in a reply. Samples without tools, query or calls are left out.
+    """
+    rows = spark.read.schema("tools string, conversations array<struct<from: string, value: string>>").json(path)
+    first = lambda who: F.get(F.filter("conversations", lambda c: c["from"] == who), F.lit(0))["value"]
+    bodies = F.regexp_extract_all(first("gpt"), F.lit(r"(?s)<tool_call>\s*(.*?)\s*</tool_call>"), F.lit(1))
+    calls = F.transform(bodies, lambda b: F.struct(F.get_json_object(b, "$.name").alias("name"), F.get_json_object(b, "$.arguments").alias("arguments")))
+    made = rows.select(first("human").alias("query"), "tools", F.filter(calls, lambda c: c["name"].isNotNull()).alias("expected"))
+    return _first_rows(made.filter((F.coalesce("query", F.lit("")) != "") & (F.size("expected") > 0) & (F.get_json_object("tools", "$[0]").isNotNull())), most)
 
 
 def read_memories(spark: SparkSession, path: str) -> DataFrame:
@@ -68,9 +107,13 @@ def upsert(old: DataFrame, new: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 
 
 def replace_memories(memories: DataFrame, path: str) -> None:
-    """All memories anew, with ids in order of time."""
-    ids = F.row_number().over(Window.orderBy("ts", "content")).cast("long")
-    memories.withColumn("id", ids).write.mode("overwrite").parquet(path)
+    """All memories anew, with ids in order of time: ranges of time are numbered apart and moved up by those before."""
+    ranges = memories.repartitionByRange("ts", "content").sortWithinPartitions("ts", "content")
+    numbered = kept(ranges.withColumn("_lw_part", F.spark_partition_id()).withColumn("_lw_k", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)))
+    counts = numbered.groupBy("_lw_part").agg(F.count("*").alias("n"))  # a row for each partition
+    before = F.coalesce(F.sum("n").over(Window.orderBy("_lw_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    moved = numbered.join(F.broadcast(counts.select("_lw_part", before.alias("_lw_before"))), "_lw_part")
+    moved.withColumn("id", F.col("_lw_before") + F.col("_lw_k") + 1).drop("_lw_part", "_lw_k", "_lw_before").write.mode("overwrite").parquet(path)
 
 
 def rendered(lines: Column, label: str, form: str = "default") -> Column:

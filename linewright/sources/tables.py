@@ -1,4 +1,4 @@
-"""Parquet tables of a folder."""
+"""Parquet tables of a folder, and the folder that all executors share."""
 
 from __future__ import annotations
 
@@ -7,3 +7,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; one in the warehouse where that is unset."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_linewright"
+    return named.rstrip("/")
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """A checkpoint of df in the shared folder."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint(eager=True)

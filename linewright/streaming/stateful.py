@@ -10,11 +10,18 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from linewright.sources.tables import shared_folder
+
 TAIL_BYTES, FLUSH_BYTES = 8192, 32_768
+#: What a stream without a reason to finish is ended with.
+TERMINATOR = (
+    'data: {"id":"synthetic","object":"chat.completion.chunk","created":0,"model":"synthetic","choices":[{"index":0,"delta":{},"finish_reason":"stop"}]}'
+    "\n\ndata: [DONE]\n\n"
+)
 FINISHED = tuple(f'"finish_reason":"{r}"' for r in ("stop", "length", "tool_calls"))
 
 
@@ -28,7 +35,7 @@ def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def run(stream: DataFrame, mode: str = "append") -> DataFrame:
     """All that a stream gives for what is there, as a table in the shared folder (append) or in memory (complete)."""
     spark = stream.sparkSession
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/linewright").rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     if mode == "append":
         writer = stream.writeStream.format("parquet").option("path", f"{folder}/out")
     else:
@@ -100,9 +107,9 @@ def feedback(stream: DataFrame, key: str, order: str, low: float = 0.30, high: f
 
 
 def finished_streams(chunks: DataFrame, key: str = "stream", seq: str = "seq", text: str = "chunk", last: str = "last") -> DataFrame:
-    """(key, finished): whether each ended stream of chunks named a reason to finish, wherever chunks were cut.
+    """(key, finished, terminator): whether each ended stream of chunks named a reason to finish, wherever chunks were cut.
 
-    State is the last bytes of a stream; a stream that ends without a reason gets a synthetic one downstream.
+    State is the last bytes of a stream. One that ends without a reason gets a synthetic chunk, and others null.
     """
     kind = chunks.schema[key].dataType.simpleString()
 
@@ -116,12 +123,12 @@ def finished_streams(chunks: DataFrame, key: str = "stream", seq: str = "seq", t
             ended = ended or bool(end)
         if ended:
             state.remove() if state.exists else None
-            yield pd.DataFrame({key: [k[0]], "finished": [seen]})
+            yield pd.DataFrame({key: [k[0]], "finished": [seen], "terminator": [None if seen else TERMINATOR]})
         else:
             state.update((tail, seen))
 
     return chunks.select(key, seq, text, last).groupBy(key).applyInPandasWithState(
-        step, f"{key} {kind}, finished boolean", "tail string, seen boolean", "append", GroupStateTimeout.NoTimeout)
+        step, f"{key} {kind}, finished boolean, terminator string", "tail string, seen boolean", "append", GroupStateTimeout.NoTimeout)
 
 
 def flushed(chunks: DataFrame, key: str = "stream", seq: str = "seq", text: str = "chunk", last: str = "last", least: int = FLUSH_BYTES) -> DataFrame:
@@ -146,7 +153,7 @@ def flushed(chunks: DataFrame, key: str = "stream", seq: str = "seq", text: str
 
 
 def stream_usage(chunks: DataFrame, key: str = "stream", seq: str = "seq", text: str = "chunk") -> DataFrame:
-    """(key, prompt_tokens, completion_tokens, hit_tokens) of the last chunk that speaks of usage; 0 where a number is missing. Batch or complete."""
+    """(key, prompt_tokens, completion_tokens, hit_tokens) of the last chunk that speaks of usage; 0 where a number is missing. A table, or a stream in complete mode."""
     said = chunks.filter(F.col(text).contains('"usage"') | F.col(text).contains('"prompt_tokens"'))
     last = said.groupBy(key).agg(F.max_by(text, seq).alias("t"))
     number = lambda n: F.coalesce(F.regexp_extract("t", f'"{n}":\\s*([0-9]+)', 1).try_cast("long"), F.lit(0))
@@ -165,17 +172,36 @@ def first_seen(stream: DataFrame, keys: list[str], time: str, within: str) -> Da
     return stream.withColumn("_lw_t", F.col(time).cast("timestamp")).withWatermark("_lw_t", within).dropDuplicatesWithinWatermark(keys).drop("_lw_t")
 
 
-def maintain_index(docs: DataFrame, path: str, build: Callable[[DataFrame], DataFrame], key: str = "doc_id", buckets: int = 8) -> DataFrame:
+def rounds_of(work: Callable[[], None], rounds: int, wait: Callable[[float], None], clock: Callable[[], float], pause: int = 120, slow: int = 60, longest: int = 1800) -> None:
+    """Run maintenance again and again, waiting between rounds: twice as long after each slow one, as maintenance_delays tells."""
+    delay = pause
+    for _ in range(rounds):
+        wait(delay)
+        began = clock()
+        work()
+        delay = min(delay * 2, longest) if clock() - began > slow else pause
+
+
+def maintain_index(docs: DataFrame, path: str, build: Callable[[DataFrame], DataFrame], key: str = "doc_id", order: str | None = None, buckets: int = 64) -> DataFrame:
     """Postings kept in step with a stream of changed texts: each batch replaces the postings of its texts.
 
-    A batch rewrites only the buckets of keys that it touches. Returns the index after what is there.
+    Of several versions of a text in a batch the last by `order` counts, or any without one. A batch rewrites only
+    the buckets of keys that it touches, which should be many for a large index. Returns the index after what is there.
     """
     spark = docs.sparkSession
     bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
     def renew(batch: DataFrame, epoch: int) -> None:
+        if order is not None:
+            rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))
+            batch = batch.withColumn("_lw_rank", rank).filter("_lw_rank = 1").drop("_lw_rank")
         newest = batch.dropDuplicates([key]).persist()
-        fresh = build(newest).withColumn("bucket", bucket).persist()
+        try:
+            replace(newest, build(newest).withColumn("bucket", bucket), epoch)
+        finally:
+            newest.unpersist()
+
+    def replace(newest: DataFrame, fresh: DataFrame, epoch: int) -> None:
         try:
             old = spark.read.parquet(path)
         except Exception as e:  # the first batch finds no index

@@ -4,10 +4,12 @@ import json
 
 from pyspark.sql import functions as F
 
+from linewright.functions import text as T
 from linewright.functions import udtf
-from linewright.operators import code, compress, convo, events, guard, index, memory, quality, runs, session, sift
+from linewright.operators import code, compress, convo, events, folds, guard, index, memory, quality, runs, session, sift
 from linewright.operators.lines import explode_lines
 from linewright.sources import files
+from linewright.streaming import stateful
 
 
 def docs(spark, *texts):
@@ -208,3 +210,92 @@ def test_table_functions(spark):
     udtf.register(spark)
     assert [r.line for r in spark.sql("select * from split_lines('a\\nb\\n') order by line_no").collect()] == ["a", "b"]
     assert [r.identifier for r in spark.sql("select * from scan_identifiers('Foo bar2 x') order by place").collect()] == ["foo", "bar2"]
+
+
+def test_log_files_and_their_tail(spark, tmp_path):
+    lines = ['{"event": "stream_usage", "prompt_tokens": 5, "timestamp": 1}', "no json", '{"event": "other"}', '{"event": "proxy_response", "savings_pct": 1.5}']
+    (tmp_path / "log").mkdir()
+    (tmp_path / "log" / "a.jsonl").write_text("\n".join(lines))
+    want = [("proxy_response", None, 1.5), ("stream_usage", 5, None)]
+    rows = lambda d: sorted((r.event, r.prompt_tokens, r.savings_pct) for r in d.collect())
+    assert rows(files.read_log(spark, str(tmp_path / "log"))) == want
+    assert rows(stateful.run(files.tail_log(spark, str(tmp_path / "log")))) == want
+
+
+def test_sets_of_questions_and_calls(spark, tmp_path):
+    questions = [{"context": f"c{i}", "question": f"q{i}", "answers": {"text": [f"a{i}", "x"] if i % 3 else []}} for i in range(12)]
+    (tmp_path / "q.json").write_text("\n".join(map(json.dumps, questions)))
+    got = files.read_questions(spark, str(tmp_path / "q.json"), 6).collect()
+    assert sorted((r.context, r.expected, r.unanswerable) for r in got) == sorted(
+        [("c1", "a1", False), ("c2", "a2", False), ("c4", "a4", False), ("c0", None, True), ("c3", None, True), ("c6", None, True)])
+    reply = 'So: <tool_call>\n{"name": "f", "arguments": {"x": 1}}\n</tool_call> <tool_call>{"name": "g"}</tool_call>'
+    talk = lambda *turns: [{"from": a, "value": b} for a, b in turns]
+    samples = [{"tools": "[{}]", "conversations": talk(("system", "s"), ("human", "ask"), ("gpt", reply), ("gpt", "no"))},
+               {"tools": "[]", "conversations": talk(("human", "ask"), ("gpt", reply))}, {"tools": "[{}]", "conversations": talk(("human", "ask"), ("gpt", "no call"))},
+               {"tools": "[{}]", "conversations": talk(("gpt", reply))}]
+    (tmp_path / "c.json").write_text("\n".join(map(json.dumps, samples)))
+    got = files.read_calls(spark, str(tmp_path / "c.json")).collect()
+    assert [(r["query"], [(c.name, c.arguments) for c in r.expected]) for r in got] == [("ask", [("f", '{"x":1}'), ("g", None)])]
+
+
+def test_memories_are_numbered_by_time(spark, tmp_path):
+    rows = spark.createDataFrame([((i * 37) % 100, f"m{i}", 7) for i in range(100)], "ts long, content string, id long").repartition(5)
+    files.replace_memories(rows, str(tmp_path / "m"))
+    got = files.read_memories(spark, str(tmp_path / "m")).orderBy("id").collect()
+    assert [r.id for r in got] == list(range(1, 101)) and [r.ts for r in got] == list(range(100)) and got[0].error_flag == 0
+
+
+def test_written_indexes_and_lines(spark, tmp_path):
+    posts = spark.createDataFrame([(i, f"p{i % 7}") for i in range(50)], "doc_id long, phrase string")
+    files.write_index(posts, str(tmp_path / "i"), 3)
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "i")).collect())) == sorted(map(tuple, posts.collect()))
+    files.write_jsonl(posts.coalesce(1), str(tmp_path / "l"), 20)
+    parts = sorted(len(p.read_text().splitlines()) for p in (tmp_path / "l").glob("*.json"))
+    assert parts == [10, 20, 20]
+
+
+def test_small_functions(spark):
+    row = spark.range(1).select(
+        files.rendered(F.array(F.lit("a"), F.lit("b")), "Names").alias("a"), files.rendered(F.array().cast("array<string>"), "Names").alias("b"),
+        files.rendered(F.array(F.lit("a")), "x", "json").alias("c"), files.rendered(F.array(F.lit("a"), F.lit("b")), "x", "compact").alias("d"),
+        files.fits(F.lit("\u00e9"), 2).alias("e"), files.fits(F.lit("\u00e9"), 1).alias("f"),
+        T.signature_name(F.lit("  pub fn name_1(x) {")).alias("g"), T.signature_name(F.lit("no")).alias("h"),
+        (T.change_key(F.lit("a"), F.lit("x"))["content_hash"] == T.change_key(F.lit("b"), F.lit("x"))["content_hash"]).alias("i"),
+        (T.change_key(F.lit("a"), F.lit("x"))["file_hash"] == T.change_key(F.lit("b"), F.lit("x"))["file_hash"]).alias("j"),
+        T.djb2(F.lit("")).cast("string").alias("k"), T.djb2(F.lit("\u00e9" * 40)).cast("string").alias("l"), T.djb2(F.lit(None).cast("string")).alias("m")).first()
+    h = 5381
+    for b in ("\u00e9" * 40).encode():
+        h = (h * 33 + b) % 2**64
+    assert tuple(row) == ("Names:\n  a\n  b", "Names: (none)", '["a"]', "a\nb", True, False, "name_1", "", True, False, "0", str(h), None)
+
+
+def test_maintenance_waits_longer_after_slow_rounds():
+    took, now, waited = iter([10, 61, 100, 100, 100, 100, 100, 5, 1]), [0.0], []
+    stateful.rounds_of(lambda: now.__setitem__(0, now[0] + next(took)), 9, waited.append, lambda: now[0])
+    assert waited == [120, 120, 240, 480, 960, 1800, 1800, 1800, 120]
+
+
+def test_a_stream_without_a_reason_is_ended(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1, "half", False), ("a", 2, "done", True), ("b", 1, 'x"finish_reason":"sto', False), ("b", 2, 'p"', True), ("c", 1, "open", False)],
+                                 "stream string, seq long, chunk string, last boolean")
+    rows.write.parquet(str(tmp_path / "s"))
+    found = stateful.run(stateful.finished_streams(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "s")))).collect()
+    assert {r.stream: (r.finished, r.terminator) for r in found} == {"a": (False, stateful.TERMINATOR), "b": (True, None)}
+
+
+def test_folds_of_odd_tables(spark):
+    rows = spark.createDataFrame([(None, 1, 5), ("a", 1, 1), ("a", 1, 1), ("a", 3, 2), (None, 0, 7)], "k string, i int, v int")
+    total = lambda d: sorted(((r.k, r.i, r.s) for r in folds.ordered_fold(d, "k", ("i",), ("v",), "s int", lambda: 0, lambda s, v: (s + v, (s + v,))).collect()), key=repr)
+    assert total(rows) == sorted([(None, 0, 7), (None, 1, 12), ("a", 1, 1), ("a", 1, 2), ("a", 3, 4)], key=repr)
+    assert total(rows.filter("false")) == []
+
+
+def test_of_several_versions_the_newest_is_indexed(spark, tmp_path):
+    build = lambda d: d.select("doc_id", F.explode(F.split("text", " ")).alias("phrase"))
+    schema = "doc_id long, text string, at long"
+    for n, batch in enumerate(([(1, "old words", 1), (1, "new words", 2), (2, "two", 1)], [(2, "three", 5), (2, "stale", 4)])):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "docs"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "docs"))
+        found = stateful.maintain_index(stream, str(tmp_path / "index"), build, order="at")
+        want = [[(1, "new"), (1, "words"), (2, "two")], [(1, "new"), (1, "words"), (2, "three")]][n]
+        assert sorted((r.doc_id, r.phrase) for r in found.collect()) == want
