@@ -1,24 +1,26 @@
 """Benchmark decontamination with one Aho-Corasick automaton (operator 9).
 
-Texts are normalised to lower-case words between single spaces; every window of ten words of a test item is
-a pattern with a space on both sides. Each text is scanned once, and places in the normalised text are
-mapped to word numbers and to code points of the original.
+Texts are normalised to lower-case words, and each word of the test items is one symbol of an alphabet, other
+words another; every window of ten words of an item is a pattern. Each text is scanned once, and places in it,
+which are word numbers, are mapped to code points of the original.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable
+from itertools import repeat
 
 import ahocorasick
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linewright.llm.base import map_rows, worker_cache
+from linewright.llm.base import map_rows, worker_cache, written
 
-#: Words of a window, and bytes of test items in one automaton; more items are taken in blocks.
-WINDOW_WORDS, BLOCK_BYTES = 10, 8 << 20
+#: Words of a window, bytes of test items in one automaton (more items are taken in blocks), and window starts of
+#: one segment of a long item.
+WINDOW_WORDS, BLOCK_BYTES, SEGMENT = 10, 4 << 20, 4096
 
 #: Word bytes in lower case; any other byte becomes a space. Bytes from 128 belong to non-ASCII letters.
 NORMAL = bytes(
@@ -30,20 +32,25 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(NORMAL).split()
 
 
+def symbol(n: int) -> str:
+    """The symbol of the n-th word, from 1 on; surrogates are left out."""
+    return chr(n if n < 0xD800 else n + 0x800)
+
+
 class Patterns:
     """The automaton of the windows of (item, text) pairs."""
 
     def __init__(self, items: list[tuple[str, bytes]], width: int = WINDOW_WORDS) -> None:
-        owners: dict[str, tuple[int, set[str]]] = {}
+        owners: dict[str, set[str]] = {}
+        self.symbols: dict[bytes, str] = {}
         for item, text in items:
-            words = words_of(text)
-            for i in range(max(1, len(words) - width + 1) if words else 0):
-                part = words[i : i + width]
-                owners.setdefault(f" {b' '.join(part).decode('latin-1')} ", (len(part), set()))[1].add(item)
+            line = "".join([self.symbols.setdefault(w, symbol(len(self.symbols) + 1)) for w in words_of(text)])
+            for i in range(max(1, len(line) - width + 1) if line else 0):
+                owners.setdefault(line[i : i + width], set()).add(item)
         self.empty = not owners
         self.trie = ahocorasick.Automaton()
-        for pattern, (n, own) in owners.items():
-            self.trie.add_word(pattern, (len(pattern), n, tuple(sorted(own))))
+        for pattern, own in owners.items():
+            self.trie.add_word(pattern, (len(pattern), tuple(sorted(own))))
         if owners:
             self.trie.make_automaton()
 
@@ -52,14 +59,16 @@ class Patterns:
         words = words_of(text)
         if self.empty or not words:
             return len(words), [], set()
-        plain = f" {b' '.join(words).decode('latin-1')} "
-        found = [(end, size, n, own) for end, (size, n, own) in self.trie.iter(plain)]
-        if not found:
-            return len(words), [], set()
-        gaps = np.flatnonzero(np.frombuffer(plain.encode("latin-1"), np.uint8) == 32)
-        first = np.searchsorted(gaps, [end - size + 1 for end, size, _, _ in found]).tolist()
-        ranges = sorted((j, j + n) for j, (_, _, n, _) in zip(first, found, strict=True))
-        return len(words), merge(ranges), {x for *_, own in found for x in own}
+        line = "".join(map(self.symbols.get, words, repeat("\0")))
+        found = [(end + 1 - n, end + 1, own) for end, (n, own) in self.trie.iter(line)]
+        return len(words), merge(sorted((a, b) for a, b, _ in found)), {x for *_, own in found for x in own}
+
+
+def segments(text: bytes, width: int) -> list[bytes]:
+    """Parts of an item's words that hold each of its windows once, none of more than SEGMENT windows."""
+    words = words_of(text)
+    starts = max(1, len(words) - width + 1) if words else 0
+    return [b" ".join(words[a : min(a + SEGMENT, starts) + width - 1]) for a in range(0, starts, SEGMENT)]
 
 
 def merge(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -101,7 +110,7 @@ def _worker(shared, width: int, whole: bool) -> Callable[[], Callable[[bytes], t
     def make() -> Callable[[bytes], tuple]:
         items = shared.value
         key = ("windows", width, hashlib.sha256(repr(items).encode()).digest())
-        scan = worker_cache(key, lambda: Patterns(items, width)).scan
+        scan = worker_cache(key, lambda: Patterns(items, width), 2).scan
         if whole:
             return lambda text: _result(text, *scan(text))
 
@@ -135,34 +144,40 @@ def scan_documents(
     `prefix` stands before the names of the new columns, for tables that have such names already.
 
     The items' size is measured first. Up to `block_bytes` they are one broadcast automaton and the texts are
-    scanned once, without a shuffle. Beyond it they are dealt into blocks, each with its own automaton and
-    pass; the hits are brought together by a digest of the text and joined to the rows once.
+    scanned once, without a shuffle. Beyond it their segments are dealt into blocks of half that size, about, one
+    after the other: each is broadcast, scanned for, its hits written to the shared folder, and then let go, on the
+    driver and by the workers, so no more than one is held. The hits are brought together by a digest of the text
+    and joined to the rows once.
     """
     spark = docs.sparkSession
     source = items.select(
         F.coalesce(items[item_id].cast("string"), F.lit("null")).alias("i"),
         F.coalesce(items[item_text], F.lit("")).alias("t"),
     ).distinct()
+    cut_up = map_rows(source, "t", "s array<string>", lambda: lambda t: ([x.decode("utf-8", "replace") for x in segments(t, width)],), ["i"])
+    source = cut_up.select("i", F.explode("s").alias("t")).distinct()
     total = source.agg(F.sum(F.octet_length("t") + F.octet_length("i") + 16)).first()[0] or 0
-    blocks = max(1, -(-total // block_bytes))
 
     def share(part: DataFrame):
         return spark.sparkContext.broadcast(sorted((i, t.encode()) for i, t in part.toLocalIterator()))
 
-    if blocks == 1:
+    if total <= block_bytes:
         return map_rows(docs, text_col, _schema(prefix), _worker(share(source), width, True), list(keep))
 
-    part_of = F.pmod(F.xxhash64("i", "t"), F.lit(blocks))
+    blocks = -(-2 * total // block_bytes)
+    source = written(source.withColumn("k", F.pmod(F.xxhash64("i", "t"), F.lit(blocks))))
     narrow = docs.select(*[docs[c] for c in keep], docs[text_col].alias("_lw_body"),
                          F.sha2(F.coalesce(docs[text_col], F.lit("")), 256).alias("_lw_key"))
     hits = None
     for k in range(blocks):
+        block = share(source.filter(F.col("k") == k).select("i", "t"))
         made = map_rows(
-            narrow.select(*keep, "_lw_key", "_lw_body"), "_lw_body",
-            "_lw_ranges array<struct<a:int,b:int>>, _lw_items array<string>",
-            _worker(share(source.filter(part_of == k)), width, False), ["_lw_key"],
+            narrow.select("_lw_key", "_lw_body"), "_lw_body",
+            "_lw_ranges array<struct<a:int,b:int>>, _lw_items array<string>", _worker(block, width, False), ["_lw_key"],
         ).filter(F.size("_lw_items") > 0).dropDuplicates(["_lw_key"])
-        hits = made if hits is None else hits.unionByName(made)
+        told = written(made)
+        block.destroy()
+        hits = told if hits is None else hits.unionByName(told)
     hits = hits.groupBy("_lw_key").agg(F.flatten(F.collect_list("_lw_ranges")).alias("_lw_ranges"),
                                        F.array_distinct(F.flatten(F.collect_list("_lw_items"))).alias("_lw_items"))
     joined = narrow.join(hits, "_lw_key", "left")
