@@ -128,8 +128,9 @@ ITEMS = [(1, "One two, three FOUR five six seven eight nine ten"), (2, "four fiv
          (12, " ".join(f"wort{i % 977} été {i}" for i in range(30, 50)))]
 
 
-@pytest.mark.parametrize("block", [8 << 20, 60])
-def test_windows(spark, odd, none, block):
+@pytest.mark.parametrize(("block", "segment"), [(8 << 20, 4096), (60, 4096), (200, 3)])
+def test_windows(spark, odd, none, monkeypatch, block, segment):
+    monkeypatch.setattr(decontamination, "SEGMENT", segment)
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     found = decontamination.scan_documents(odd, items, block_bytes=block)
     got = sorted((tuple(r)[:6] for r in found.collect()), key=repr)
@@ -160,7 +161,11 @@ def plain_repeats(rows, size=100):
     return out
 
 
-def test_repeats(spark):
+@pytest.mark.parametrize(("members", "block"), [(100_000, 1_000_000), (3, 1_000_000), (3, 64), (7, 64)])
+def test_repeats(spark, monkeypatch, members, block):
+    """Also with buckets that are hot from a few members on, in blocks of few anchors."""
+    monkeypatch.setattr(repeats, "MOST_MEMBERS", members)
+    monkeypatch.setattr(repeats, "BLOCK_ANCHORS", block)
     r = random.Random(5)
     word = lambda: "".join(r.choice("abcdeé ") for _ in range(r.randint(1, 9)))
     passage = [" ".join(word() for _ in range(30)) for _ in range(4)]
@@ -175,6 +180,29 @@ def test_repeats(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_refinement_against_plain_strings(seed):
+    r = random.Random(seed)
+    size, side = repeats.LENGTH, repeats.LENGTH - repeats.Q
+    gram = bytes(r.choice(b"ab\0") for _ in range(repeats.Q))
+    rows = []
+    for _ in range(80):
+        before, after = r.choice([side, side, 5, 0]), r.choice([size, size, size - 3, repeats.Q])
+        left, right = bytes(r.choice(b"\0a") * 1 for _ in range(3)), r.choice([b"x" * 80, b"x" * 30 + b"y" * 50, b"\0" * 80])
+        rows.append(((b"z" * side + left)[-before:] if before else b"", (gram + right)[:after]))
+    around = np.array([list(b"\0" * (side - len(a)) + a + b + b"\0" * (size - len(b))) for a, b in rows], np.uint8)
+    who, first, stop = repeats.repeated_strings(around, np.array([len(a) for a, _ in rows]), np.array([len(b) for _, b in rows]))
+    got = {(w, o) for w, f, t in zip(who.tolist(), first.tolist(), stop.tolist(), strict=True) for o in range(f, t)}
+    want, seen = set(), set()
+    for i, (a, b) in enumerate(rows):
+        for o in range(side + 1):
+            if len(a) >= side - o and len(b) >= o + size - side:
+                part = bytes(around[i, o : o + size])
+                want |= {(i, o)} if (o, part) in seen else set()
+                seen.add((o, part))
+    assert got == want and want
+
+
 def test_repeats_odd(spark, odd, none):
     rows = repeats.remove_repeats(odd).collect()
     assert len(rows) == odd.count()
