@@ -35,16 +35,26 @@ def grams_of(word: bytes) -> list[int]:
     return [zlib.crc32(b"=" + word), *(zlib.crc32(word[:n]) for n in BEGINNINGS if n <= len(word))]
 
 
+def place(gram: int) -> int:
+    return (gram * 0x85EBCA6B & 0xFFFFFFFF) >> (32 - BITS)
+
+
+def turned(times: int) -> int:
+    """What a number of words changes of a gram's place."""
+    return times * 0x3C6EF & (1 << BITS) - 1
+
+
 def feature(gram: int, times: int) -> int:
     """The hashed indicator of a gram in at least so many different words."""
-    return ((gram + times * 0x9E3779B1) * 0x85EBCA6B & 0xFFFFFFFF) >> (32 - BITS)
+    return place(gram) ^ turned(times)
 
 
 def features_of(text: bytes) -> np.ndarray:
     """Hashed features of a text, sorted and distinct."""
     found = [g for w in set(words_of(text)) for g in grams_of(w)]
     grams, times = np.unique(np.array(found, np.uint64), return_counts=True)
-    made = [(((grams[times >= t] + np.uint64(t * 0x9E3779B1)) * np.uint64(0x85EBCA6B)) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - BITS) for t in TIMES]
+    places = (grams * np.uint64(0x85EBCA6B) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - BITS)
+    made = [places[times >= t] ^ np.uint64(turned(t)) for t in TIMES]
     return np.unique(np.concatenate(made)).astype(np.int32)
 
 
@@ -191,16 +201,19 @@ def score(
     """
     weights, bias = dict(zip(model.features.tolist(), model.weights.tolist(), strict=True)), model.bias
 
+    near = {f ^ turned(t) for f in weights for t in TIMES}
+
     def make() -> Callable[[bytes], tuple]:
         memo = Memo()
 
-        def heavy(word: bytes) -> tuple[int, ...]:
-            return tuple(g for g in grams_of(word) if any(feature(g, t) in weights for t in TIMES))
-
         def found(t: bytes) -> Iterator[int]:
             seen: dict[int, int] = {}
+            known = memo.held.get
             for w in set(words_of(t)):
-                for g in memo.get(w, heavy):
+                grams = known(w)
+                if grams is None:
+                    grams = memo.put(w, tuple([g for g in grams_of(w) if place(g) in near]))
+                for g in grams:
                     n = seen[g] = seen.get(g, 0) + 1
                     if n in TIMES:
                         yield feature(g, n)
