@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from linewright.functions import text as T
 from linewright.operators.runs import by, joined
@@ -95,22 +102,34 @@ def erase_common_words(docs: DataFrame, keys: tuple[str, ...], text: str = "text
 
     A word costs minus the binary logarithm of its share of the text; the cheapest go first, of equal ones the
     earlier. Words of up to two bytes, and those with digits or brackets, stay. A gap is one underscore.
+    A text's words are counted within its row, in Arrow batches, so nothing is shuffled.
     """
     body = F.col(text)
     words = T.words(body)
     fit = docs.filter((F.octet_length(body) >= 100) & body.rlike(r"(?U)\s") & (F.size(words) >= 10))
-    rows = fit.select(*keys, F.octet_length(body).alias("was"), F.size(words).alias("total"), F.posexplode(words).alias("i", "word"))
-    n = F.count("*").over(Window.partitionBy(*keys, "word"))
-    cost = rows.withColumn("cost", -F.log2(n / F.col("total")))
-    free = (F.octet_length("word") > 2) & ~F.col("word").rlike(r"[0-9(){}\[\]<>=:;]")
-    priced = cost.withColumn("free", free)
-    spent = F.sum(F.when(F.col("free"), F.col("cost")).otherwise(0.0)).over(
-        Window.partitionBy(*keys).orderBy("cost", "i").rowsBetween(Window.unboundedPreceding, -1))
-    gone = priced.withColumn("gone", F.col("free") & (F.coalesce(spent, F.lit(0.0)) < budget))
-    order = Window.partitionBy(*keys).orderBy("i")
-    shown = gone.withColumn("again", F.col("gone") & F.coalesce(F.lag("gone").over(order), F.lit(False))).filter("not again")
-    out = shown.groupBy(*keys).agg(joined(F.col("i"), F.when(F.col("gone"), "_").otherwise(F.col("word")), " ").alias("text"), F.first("was").alias("was"))
-    return out.filter(F.octet_length("text") < F.col("was")).select(*keys, "text")
+    source = fit.select(*keys, F.octet_length(body).alias("was"), words.alias("words"))
+    held, width = re.compile(r"[0-9(){}\[\]<>=:;]"), len(keys)
+
+    def erased(found: list[str]) -> str:
+        counts = Counter(found)
+        cost = {w: -math.log2(n / len(found)) for w, n in counts.items()}
+        free = {w for w in counts if len(w.encode()) > 2 and not held.search(w)}
+        gone, spent = set(), 0.0
+        for i in sorted((i for i, w in enumerate(found) if w in free), key=lambda i: (cost[found[i]], i)):
+            if spent >= budget:
+                break
+            gone.add(i)
+            spent += cost[found[i]]
+        return " ".join("_" if i in gone else w for i, w in enumerate(found) if i not in gone or i - 1 not in gone)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [erased(w) for w in batch.column(width + 1).to_pylist()]
+            short = [i for i, (t, was) in enumerate(zip(texts, batch.column(width).to_pylist(), strict=True)) if len(t.encode()) < was]
+            at = pa.array(short, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in range(width)), pa.array([texts[i] for i in short], pa.string())], names=[*keys, "text"])
+
+    return source.mapInArrow(run, StructType([*(source.schema[k] for k in keys), StructField("text", StringType())]))
 
 
 def minify_json(text: Column) -> Column:

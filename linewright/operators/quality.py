@@ -53,9 +53,17 @@ def gate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
 
 def preservation(original: Column, compressed: Column) -> Column:
-    """Share of the original's distinct targets that the compressed text contains; 1 without targets."""
-    targets = F.array_distinct(T.preservation_targets(original))
-    return T.let(targets, lambda t: F.when(F.size(t) == 0, 1.0).otherwise(F.size(F.filter(t, lambda x: F.contains(compressed, x))) / F.size(t)))
+    """Share of the original's distinct targets that the compressed text contains; 1 without targets.
+
+    Targets that are targets of the compressed text too are in it; only the others are searched for.
+    """
+    targets, kept = F.array_distinct(T.preservation_targets(original)), T.preservation_targets(T.text_of(compressed))
+
+    def share(t: Column) -> Column:
+        lost = F.filter(F.array_except(t, kept), lambda x: ~F.contains(T.text_of(compressed), x))
+        return F.when(F.size(t) == 0, 1.0).otherwise((F.size(t) - F.size(lost)) / F.size(t))
+
+    return T.let(targets, share)
 
 
 def srcr(original: Column, compressed: Column) -> Column:
