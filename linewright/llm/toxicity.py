@@ -201,7 +201,7 @@ def score(
     """
     weights, bias = dict(zip(model.features.tolist(), model.weights.tolist(), strict=True)), model.bias
 
-    near = {f ^ turned(t) for f in weights for t in TIMES}
+    near, shift = {f ^ turned(t) for f in weights for t in TIMES}, 32 - BITS
 
     def make() -> Callable[[bytes], tuple]:
         memo = Memo()
@@ -212,7 +212,7 @@ def score(
             for w in set(words_of(t)):
                 grams = known(w)
                 if grams is None:
-                    grams = memo.put(w, tuple([g for g in grams_of(w) if place(g) in near]))
+                    grams = memo.put(w, tuple([g for g in grams_of(w) if (g * 0x85EBCA6B & 0xFFFFFFFF) >> shift in near]))  # place(g)
                 for g in grams:
                     n = seen[g] = seen.get(g, 0) + 1
                     if n in TIMES:
