@@ -10,8 +10,8 @@ starts. Anchors whose surroundings, all that strings around them can hold, have
 full. Of buckets that hold different surroundings one member of each is taken, with its bytes. Their buckets are
 refined byte by byte to the right and to the left of the q-gram, each step by sorting on the identifiers of the
 next offset and reusing those of the last, and at last, for every string through the anchor, the buckets of its
-right part by sorting on those of its left part. A bucket of very many members is not brought together: digests
-of all strings through them are dealt instead.
+right part by sorting on those of its left part. A bucket of very many members is not brought together: its anchors
+are dealt by their surroundings, and digests of all strings through them instead of their bytes.
 """
 
 from __future__ import annotations
@@ -25,16 +25,19 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linewright.llm.base import join_groups, partitions, slices, texts_of, written
+from linewright.llm.base import partitions, slices, texts_of, written
 
 #: Bytes of a string and of the q-gram of the first buckets (a power of two, and 2q less than LENGTH).
 LENGTH, Q = 100, 32
 #: Anchors of one block of a map task; a task holds one block at a time.
-BLOCK_ANCHORS = 1_000_000
+BLOCK_ANCHORS = 400_000
 #: Bytes of texts, or of a part of one, whose identifiers are held at once.
 PIECE = 1 << 20
 #: Bytes of texts whose anchors make one part of a shuffle, and members of a bucket that are refined together.
 PART_BYTES, MOST_MEMBERS = 64 << 20, 100_000
+#: One in so many documents tells beforehand which buckets have too many anchors for one task, and the most of them.
+#: It decides where anchors meet, not what is found.
+SAMPLE, MOST_HOT = 64, 100_000
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Hashes of the 256 bytes, and of what lies outside a text; they choose anchors and buckets, not equal strings.
@@ -209,8 +212,24 @@ def _span(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.maximum(place - (LENGTH - Q), 0), place + LENGTH
 
 
-def _map_anchors(parts: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Blocks of anchors, dealt by surroundings; what repeats an earlier start of the same block is settled at once."""
+def _buckets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bucket, n): the anchors of each batch by bucket."""
+    for batch in slices(batches):
+        found, n = np.unique(anchors(texts_of(batch.column(0)))[2].view(np.int64), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n, pa.int64())], names=["bucket", "n"])
+
+
+def hot_buckets(docs: DataFrame) -> np.ndarray:
+    """Buckets of more anchors than are refined together, by a sample of the documents; at most MOST_HOT, sorted."""
+    some = docs.filter(F.pmod(F.xxhash64("doc", "part"), F.lit(SAMPLE)) == 0).select("_lw_text")
+    counts = some.mapInArrow(_buckets, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).filter(F.col("n") * SAMPLE > MOST_MEMBERS)
+    most = counts.orderBy(F.desc("n"), "bucket").limit(MOST_HOT).select("bucket").toArrow()
+    return np.sort(most["bucket"].to_numpy().astype(np.int64).view(np.uint64))
+
+
+def _map_anchors(parts: int, hot: np.ndarray) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Blocks of anchors, dealt by bucket, those of hot buckets by surroundings; what repeats an earlier start of the
+    same block is settled at once."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -222,8 +241,8 @@ def _map_anchors(parts: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa
             order, new = _first_of(one, two, doc, part, place)
             again, first = np.sort(order[~new]), np.sort(order[new])
             rows = [(int(doc[again[0]]) % parts, SETTLED, pack(doc[again], part[again], *_span(place[again])))] if len(again) else []
-            to = (one[first] % np.uint64(parts)).astype(np.int64)
-            return _blocks(rows + [(t, OPEN, b) for t, b in _dealt(to, [c[first] for c in columns])])
+            by = np.where(np.isin(bucket[first], hot), one[first], bucket[first]) if len(hot) else bucket[first]
+            return _blocks(rows + [(t, OPEN, b) for t, b in _dealt((by % np.uint64(parts)).astype(np.int64), [c[first] for c in columns])])
 
         for batch in slices(batches):
             which, place, bucket, one, two = anchors(texts_of(batch.column(2)))
@@ -279,19 +298,28 @@ def _joined(rows: list[tuple[int, bytes]], kind: int, kinds: tuple[str, ...]) ->
     return [np.concatenate(c) for c in zip(*blocks, strict=True)]
 
 
-def _reduce_anchors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spans of anchors whose surroundings start earlier, and places (end -1) of the others, with their buckets."""
-    for _, rows in _runs(batches):
-        yield from _settled(rows)
-        columns = _joined(rows, OPEN, ANCHORS)
-        if not columns:
-            continue
-        bucket, one, two, doc, part, place = columns
-        order, new = _first_of(one, two, doc, part, place)
-        again, first = order[~new], order[new]
-        if len(again):
-            yield _info(doc[again], part[again], *_span(place[again]), np.zeros(len(again), np.int64))
-        yield _info(doc[first], part[first], place[first], np.full(len(first), -1), bucket[first])
+def _reduce_anchors(hot: np.ndarray) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Spans of anchors whose surroundings start earlier, and places of the first of each surroundings, in buckets with
+    several, to be refined: end is -1, or -2 in buckets of too many."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _runs(batches):
+            yield from _settled(rows)
+            columns = _joined(rows, OPEN, ANCHORS)
+            if not columns:
+                continue
+            bucket, one, two, doc, part, place = columns
+            order, new = _first_of(one, two, doc, part, place)
+            again, first = order[~new], order[new]
+            if len(again):
+                yield _info(doc[again], part[again], *_span(place[again]), np.zeros(len(again), np.int64))
+            _, which, counts = np.unique(bucket[first], return_inverse=True, return_counts=True)
+            members = np.where(np.isin(bucket[first], hot), MOST_MEMBERS + 1, counts[which])
+            open_, end = first[members > 1], np.where(members > MOST_MEMBERS, -2, -1)[members > 1]
+            if len(open_):
+                yield _info(doc[open_], part[open_], place[open_], end, bucket[open_])
+
+    return run
 
 
 def _documents(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[tuple, list[dict], tuple]]:
@@ -470,11 +498,11 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     document, and each gives its result; rows of equal id and other text are ordered by a hash of the text.
     An empty table gives no rows; other columns are not read.
 
-    Blocks of anchors are shuffled by surroundings, and their buckets counted; members of buckets with several
-    are shuffled by bucket, and strings of buckets of over MOST_MEMBERS by digest; two shuffles carry the
-    compressed texts, by document, to meet what was found. A string that occurs everywhere leaves each map task
-    once, and no bucket is brought into one task that is too large for it. Surroundings and strings of hot buckets
-    are compared by BLAKE2 digests of 128 bits, other strings by their bytes.
+    Blocks of anchors are shuffled by bucket, members of buckets with several surroundings by bucket, and strings of
+    buckets of over MOST_MEMBERS by digest; two shuffles carry the compressed texts, by document, to meet what was
+    found. A string that occurs everywhere leaves each map task once, and no bucket is brought into one task that is
+    too large for it. Surroundings and strings of hot buckets are compared by BLAKE2 digests of 128 bits, other
+    strings by their bytes.
     """
     spark = df.sparkSession
     texts = df.select(df[id_col].cast("long").alias("_lw_id"), F.coalesce(df[text], F.lit("")).alias("_lw_text"))
@@ -492,8 +520,9 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text") ->
         )
 
     blocks = "to long, kind int, block binary"
-    mapped = docs.select("doc", "part", "_lw_text").mapInArrow(_map_anchors(parts), blocks)
-    info = written(mapped.repartition(parts, "to").sortWithinPartitions("to").mapInArrow(_reduce_anchors, INFO))
+    hot = hot_buckets(docs)
+    mapped = docs.select("doc", "part", "_lw_text").mapInArrow(_map_anchors(parts, hot), blocks)
+    info = written(mapped.repartition(parts, "to").sortWithinPartitions("to").mapInArrow(_reduce_anchors(hot), INFO))
     squeezed = docs.mapInArrow(_squeeze, "doc long, part int, data binary, id long")
 
     def beside(found: DataFrame) -> DataFrame:
@@ -503,11 +532,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text") ->
                             F.lit(None).cast("binary").alias("data"), F.lit(None).cast("long").alias("id"))
         return rows.unionByName(more).repartition(parts, "doc", "part").sortWithinPartitions("doc", "part", "kind")
 
-    places = info.filter("end = -1")
-    several = places.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").withColumn("members", F.col("n"))
-    open_ = join_groups(places, several, "bucket", "n")
-    kind = F.when(F.col("members") > MOST_MEMBERS, -2).otherwise(-1).cast("long")
-    members = beside(open_.withColumn("end", kind)).mapInArrow(_members(parts), blocks)
+    members = beside(info.filter("end < 0")).mapInArrow(_members(parts), blocks)
     refined_ = members.repartition(parts, "to").sortWithinPartitions("to").mapInArrow(_reduce_members, INFO)
     found = info.filter("end >= 0").unionByName(refined_)
     result = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed string"

@@ -161,10 +161,11 @@ def plain_repeats(rows, size=100):
     return out
 
 
-@pytest.mark.parametrize(("members", "block"), [(100_000, 1_000_000), (3, 1_000_000), (3, 64), (7, 64)])
-def test_repeats(spark, monkeypatch, members, block):
-    """Also with buckets that are hot from a few members on, in blocks of few anchors."""
+@pytest.mark.parametrize(("members", "block", "sample"), [(100_000, 1_000_000, 64), (3, 1_000_000, 1), (3, 64, 1), (7, 64, 2), (2, 64, 1 << 30)])
+def test_repeats(spark, monkeypatch, members, block, sample):
+    """Also with buckets that are hot from a few members on, known beforehand or not, in blocks of few anchors."""
     monkeypatch.setattr(repeats, "MOST_MEMBERS", members)
+    monkeypatch.setattr(repeats, "SAMPLE", sample)
     monkeypatch.setattr(repeats, "BLOCK_ANCHORS", block)
     r = random.Random(5)
     word = lambda: "".join(r.choice("abcdeé ") for _ in range(r.randint(1, 9)))
