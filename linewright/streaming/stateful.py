@@ -6,8 +6,10 @@ result, with its checkpoint in the session's shared folder.
 
 from __future__ import annotations
 
+import operator
 import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -90,7 +92,8 @@ def feedback(stream: DataFrame, key: str, order: str, low: float = 0.30, high: f
         for hit, total, us in zip(rows["hit"], rows["total"], rows["us"], strict=True):
             if total > 0:
                 ratios = [*ratios, float(hit / total)][-keep:]
-                mean = sum(ratios[-5:]) / len(ratios[-5:])
+                # added from the left, as SQL does; sum() compensates, which moves means that lie at a limit
+                mean = reduce(operator.add, ratios[-5:]) / len(ratios[-5:])
                 if mean < low:
                     since = int(us) if since is None else since
                 elif since is not None and (mean > high or (pause_us is not None and us - since > pause_us)):

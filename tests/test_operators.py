@@ -299,3 +299,12 @@ def test_of_several_versions_the_newest_is_indexed(spark, tmp_path):
         found = stateful.maintain_index(stream, str(tmp_path / "index"), build, order="at")
         want = [[(1, "new"), (1, "words"), (2, "two")], [(1, "new"), (1, "words"), (2, "three")]][n]
         assert sorted((r.doc_id, r.phrase) for r in found.collect()) == want
+
+
+def test_streamed_means_at_a_limit_are_those_of_the_batch(spark, tmp_path):
+    hits = [18.0] * 4 + [0.0, 0.0, 5.0, 16.0, 6.0, 18.0]  # the last means but one: 0.3, as sums from the left have it a little less
+    rows = spark.createDataFrame([(1, i, h, 18.0) for i, h in enumerate(hits)], "k long, seq long, hit double, total double")
+    rows.write.parquet(str(tmp_path / "s"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "s"))
+    got = [r.paused for r in stateful.run(stateful.feedback(stream, "k", "seq")).orderBy("seq").collect()]
+    assert got == [r.paused for r in events.feedback(rows, "k", ("seq",)).orderBy("seq").collect()] == [False] * 8 + [True] * 2
