@@ -308,3 +308,14 @@ def test_streamed_means_at_a_limit_are_those_of_the_batch(spark, tmp_path):
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "s"))
     got = [r.paused for r in stateful.run(stateful.feedback(stream, "k", "seq")).orderBy("seq").collect()]
     assert got == [r.paused for r in events.feedback(rows, "k", ("seq",)).orderBy("seq").collect()] == [False] * 8 + [True] * 2
+
+
+def test_pulls_of_a_long_log_cost_its_different_pairs(spark, monkeypatch):
+    rows = spark.range(2000).select(F.concat(F.lit("t"), (F.col("id") % 4).cast("string")).alias("a"), F.concat(F.lit("t"), (F.col("id") % 5).cast("string")).alias("b"), F.col("id").alias("seq"))
+    sizes, keep = [], memory.kept
+    monkeypatch.setattr(memory, "kept", lambda d: (out := keep(d), sizes.append(out.count()))[0])
+    got = {r.token: list(r.vector) for r in memory.hebbian(rows, dimensions=8).collect()}
+    vector = {r.t: list(r.v) for r in spark.createDataFrame([(f"t{i}",) for i in range(5)], "t string").select("t", memory.token_vector(F.col("t"), 8).alias("v")).collect()}
+    for a, b in ((f"t{i % 4}", f"t{i % 5}") for i in range(2000)):
+        vector[a] = [int(x + 0.1 * y) for x, y in zip(vector[a], vector[b], strict=True)]
+    assert got == vector and max(sizes) <= 20 * 8
