@@ -319,3 +319,15 @@ def test_pulls_of_a_long_log_cost_its_different_pairs(spark, monkeypatch):
     for a, b in ((f"t{i % 4}", f"t{i % 5}") for i in range(2000)):
         vector[a] = [int(x + 0.1 * y) for x, y in zip(vector[a], vector[b], strict=True)]
     assert got == vector and max(sizes) <= 20 * 8
+
+
+def test_pairs_with_a_few_tokens_are_those_of_all_pairs(spark):
+    texts = docs(spark, "and the cat and the dog", "the the tion", "of no use, no pairs here at all", "the", None, "", "tion " * 3 + "and ünder the")
+    few = memory.asked_tokens(spark, "the, and the tion")
+    assert few == ["the", "and", "the", "tion"]
+    every = memory.cooccurrence(texts, "doc_id", "text")
+    rows = lambda d: sorted(map(tuple, d.collect()))
+    pairs = memory.cooccurrence_with(texts, "text", few)
+    assert rows(pairs) == rows(every.filter(F.col("a").isin(few) | F.col("b").isin(few)))
+    assert rows(memory.predict(pairs, "the, and the tion", 20)) == rows(memory.predict(every, "the, and the tion", 20))
+    assert "Window" not in pairs._jdf.queryExecution().optimizedPlan().toString()
