@@ -180,6 +180,17 @@ def test_one_value_in_all_rows(spark):
     assert {x.doc_id: x.component_id for x in found} == dict(enumerate(plain_classes(values)))
 
 
+def test_few_links_are_joined_without_rounds(spark, monkeypatch):
+    numbers = np.random.default_rng(5).integers(-40, 40, (60, 2)).tolist() + [[i, i + 1] for i in range(100, 400)] + [[7, 7], [None, 3]]
+    links = spark.createDataFrame([tuple(x) for x in numbers], "a long, b long")
+    few = components.components(links)
+    assert "Exchange" not in few._jdf.queryExecution().executedPlan().toString()
+    rows = lambda d: sorted(map(tuple, d.collect()))
+    got = rows(few)
+    monkeypatch.setattr(components, "DRIVER_LINKS", 0)
+    assert got == rows(components.components(links)) and dict(got)[400] == 100
+
+
 def test_components_of_texts(spark, odd):
     rows = [r for r in odd.collect() if r.doc_id is not None and r.doc_id not in (6, 7)]
     prints = [plain_fingerprint(r.text) for r in rows]
