@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linewright.functions import text as T
+from linewright.sources.tables import stored
 
 # Names of libraries that an unknown-name test lets pass.
 LIBRARIES = ("std", "core", "alloc", "vec", "string", "option", "result", "box", "rc", "arc", "clone", "copy", "debug", "display",
@@ -49,7 +50,11 @@ def validated(
     definitions: DataFrame, posts: DataFrame, top: int = 5, most: int = 3, key: str = "doc_id",
     keep: Callable[[Column], Column] = T.interesting,
 ) -> DataFrame:
-    """(key, phrase, n_files, examples, rank): of each text's own definitions, those that most other texts hold."""
+    """(key, phrase, n_files, examples, rank): of each text's own definitions, those that most other texts hold.
+
+    The postings are read three times, so they are made once.
+    """
+    posts = stored(posts.select(key, "phrase"))
     own = definitions.select(key, "phrase").distinct().filter(keep(F.col("phrase")) & ~F.col("phrase").rlike(r"^[\p{Lu}_]+\z"))
     freq = posts.groupBy("phrase").agg(F.count("*").alias("df"))
     held = posts.select(key, "phrase", F.lit(1).alias("own"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from linewright.functions import classify as C
 from linewright.functions import text as T
-from linewright.operators.lines import explode_lines
+from linewright.operators.lines import explode_lines, explode_stems
 
 K1, B = 1.2, 0.75
 
@@ -23,7 +23,7 @@ def postings(docs: DataFrame, key: str = "doc_id", text: str = "text", defines:
     rows = explode_lines(docs.select(key, text).repartition(key), key, text)
     # classes are computed a line at a time, below the explode
     classed = rows.select(key, "line_no", "line", C.zone(F.col("line")).alias("zone"), defines(F.col("line")).cast("int").alias("is_def"))
-    each = classed.select(key, "line_no", "zone", "is_def", F.explode(T.stems(F.col("line"))).alias("phrase"))
+    each = explode_stems(classed, "line", key, "line_no", "zone", "is_def")
     return each.groupBy(key, "phrase").agg(
         F.max("is_def").alias("is_def"), F.floor(F.sum("zone") / F.count("*")).cast("int").alias("zone"),
         F.count("*").alias("occ"), F.min("line_no").alias("first_line"))

@@ -158,7 +158,7 @@ FIRSTS = f", d as (select doc_id, {sql.stem('token')} as phrase from (select doc
 def _definitions(spark, sf_dir):
     """Prose has no definitions: the first identifier of each line stands for one."""
     rows = explode_lines(table(spark, sf_dir, "documents"), "doc_id", "text")
-    return rows.select("doc_id", F.get(T.stems(F.col("line")), F.lit(0)).alias("phrase")).filter("phrase is not null")
+    return rows.select("doc_id", T.first_identifier(F.col("line")).alias("w")).filter("w is not null").select("doc_id", T.stem_of(F.col("w")).alias("phrase"))
 
 
 @query("missing_defs", INDEX + NEW + FIRSTS + """

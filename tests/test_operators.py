@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from linewright.functions import text as T
 from linewright.functions import udtf
 from linewright.operators import code, compress, convo, events, folds, guard, index, memory, quality, runs, session, sift
-from linewright.operators.lines import explode_lines
+from linewright.operators.lines import explode_lines, explode_stems
 from linewright.sources import files
 from linewright.streaming import stateful
 
@@ -331,3 +331,18 @@ def test_pairs_with_a_few_tokens_are_those_of_all_pairs(spark):
     assert rows(pairs) == rows(every.filter(F.col("a").isin(few) | F.col("b").isin(few)))
     assert rows(memory.predict(pairs, "the, and the tion", 20)) == rows(memory.predict(every, "the, and the tion", 20))
     assert "Window" not in pairs._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_stems_are_made_once_a_word(spark):
+    rows = docs(spark, "Running  tests_2 of ab ünder 9lives x", "plainness; classes\nmovies Übung naïve", "1abc " + "z" * 41, "", None)
+    plan = rows.select(T.stem(F.col("text")).alias("s"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 1
+    want = [(r.doc_id, w) for r in rows.select("doc_id", T.stems(F.col("text")).alias("s")).collect() for w in r.s]
+    assert sorted(map(tuple, explode_stems(rows, "text", "doc_id").collect())) == sorted(want) and (0, "runn") in want
+    assert all(r.a == r.b for r in rows.select(T.first_identifier(F.col("text")).alias("a"), F.get(T.identifiers(F.col("text")), F.lit(0)).alias("b")).collect())
+
+
+def test_postings_are_made_once_for_validated_reads(spark):
+    posts = index.postings(docs(spark, "parser parses", "parser", "lexer parser"))
+    found = guard.validated(spark.createDataFrame([(0, "parser")], "doc_id long, phrase string"), posts, keep=lambda p: F.length(p) > 3)
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
