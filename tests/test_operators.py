@@ -2,12 +2,14 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from linewright.functions import text as T
 from linewright.functions import udtf
 from linewright.operators import code, compress, convo, events, folds, guard, index, memory, quality, runs, session, sift
 from linewright.operators.lines import explode_lines, explode_stems
+from linewright.plans import history
 from linewright.sources import files
 from linewright.streaming import stateful
 
@@ -321,6 +323,34 @@ def test_pulls_of_a_long_log_cost_its_different_pairs(spark, monkeypatch):
     assert got == vector and max(sizes) <= 20 * 8
 
 
+def plain_pulls(spark, pairs, dimensions):
+    """Vectors after pulls one by one."""
+    tokens = spark.createDataFrame([(t,) for t in {t for p in pairs for t in p}], "t string")
+    vector = {r.t: list(r.v) for r in tokens.select("t", memory.token_vector(F.col("t"), dimensions).alias("v")).collect()}
+    for a, b in pairs:
+        vector[a] = [int(x + 0.1 * y) for x, y in zip(vector[a], vector[b], strict=True)]
+    return vector
+
+
+def test_each_user_is_pulled_under_its_own_name(spark, tmp_path):
+    users = [3, 53, 103, 1003, 3, 49, 50, 99, 100, 53, 7, 57, 3]
+    spark.createDataFrame([(i, u, f"kind{i % 3}") for i, u in enumerate(users)], "event_id long, user_id long, event_type string").write.parquet(str(tmp_path / "events.parquet"))
+    want = plain_pulls(spark, [p for i, u in enumerate(users) for p in ((f"kind{i % 3}", f"user{u}"), (f"user{u}", f"kind{i % 3}"))], memory.DIMENSIONS)
+    got = history.pulled_vectors(spark, str(tmp_path)).collect()
+    assert len(got) == len(set(users)) + 3 and {r.token: list(r.vector) for r in got} == want
+
+
+@pytest.mark.parametrize("block", [1, 16, 4096])
+def test_pulls_in_blocks_are_those_one_by_one(spark, block):
+    names = [None, *(f"w{i}" for i in range(25))]
+    pairs = [(names[i * i % 26], names[(i * 7 + i // 26) % 26]) for i in range(400)]
+    rows = spark.createDataFrame([(a, b, 3 * i - 50) for i, (a, b) in enumerate(pairs)], "a string, b string, seq long")
+    got = memory.hebbian(rows, dimensions=40, block=block).collect()
+    want = plain_pulls(spark, pairs, 40)
+    assert len(got) == len(want) and {r.token: list(r.vector) for r in got} == want
+    assert memory.hebbian(rows.limit(0), dimensions=40, block=block).collect() == []
+
+
 def test_pairs_with_a_few_tokens_are_those_of_all_pairs(spark):
     texts = docs(spark, "and the cat and the dog", "the the tion", "of no use, no pairs here at all", "the", None, "", "tion " * 3 + "and ünder the")
     few = memory.asked_tokens(spark, "the, and the tion")

@@ -273,7 +273,7 @@ def pulled(vector, pairs):
 
 
 def twin_pulled(spark, sf, base, name):
-    rows = base.execute("select event_type, 'user' || (user_id % 50) from events order by event_id").fetchall()
+    rows = base.execute("select event_type, 'user' || user_id from events order by event_id").fetchall()
     pairs = [p for a, b in rows for p in ((a, b), (b, a))]
     want = pulled({t: list(v) for t, v in plain_vector(spark, {x for p in pairs for x in p}).items()}, pairs)
     assert {r.token: list(r.vector) for r in catalogue.QUERIES[name](spark, sf).collect()} == want
